@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import chat, decontam, minhash, repetition
 from .store import Scratch
 
 
@@ -17,6 +17,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.report(chat.format_chats(rows.unionByName(own))).drop("violation")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.verdict(repetition.repetition(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5")))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 MARK_WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -35,9 +51,60 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.k, 0) A
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+r AS (SELECT *, coalesce(lag(role) OVER w, 'start') AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, t))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(t) + len(regexp_extract_all(t, '\\|###|</turn>')) + 14) AS BIGINT) AS formatted_chars,
+  bool_and(before || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') AND (k < n OR role = 'assistant')) AS valid
+FROM r GROUP BY conv_id
+"""
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce({SPACE_WORDS.format("text")}, []) AS ws FROM documents),
+one AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+size AS (SELECT doc_id, sum(length(ws[i])) AS c FROM one GROUP BY doc_id),
+gram AS (SELECT doc_id, k, i, list_slice(ws, i, i + k - 1) AS g FROM one, (SELECT unnest(range(2, 11)) AS k) WHERE i + k - 1 <= len(ws)),
+twice AS (SELECT doc_id, k, g, count(*) * length(array_to_string(g, '')) AS c FROM gram GROUP BY doc_id, k, g HAVING count(*) > 1),
+top AS (SELECT doc_id, k, least(max(twice.c) / max(size.c), 1) AS share FROM twice JOIN size USING (doc_id) GROUP BY doc_id, k),
+inside AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM gram JOIN twice USING (doc_id, k, g) WHERE k = 3 OR k > 4),
+dup AS (SELECT doc_id, k, count(*) AS n, sum(length(ws[i])) / max(size.c) AS share FROM inside JOIN one USING (doc_id, i) JOIN size USING (doc_id) GROUP BY doc_id, k),
+line AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id, x) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, count(*) FILTER (k > 1) AS n, count(*) FILTER (k > 1) / count(*) AS share, coalesce(sum(length(x)) FILTER (k > 1), 0) / sum(length(x)) AS chars FROM line GROUP BY doc_id),
+bad AS (SELECT doc_id FROM top WHERE share > CASE k WHEN 2 THEN 0.20 WHEN 3 THEN 0.18 WHEN 4 THEN 0.16 END
+  UNION SELECT doc_id FROM dup WHERE share > CASE k WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 WHEN 10 THEN 0.10 END
+  UNION SELECT doc_id FROM lines WHERE share > 0.30 OR chars > 0.20),
+base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(size.c, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN size USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT * FROM dup WHERE k = 3) dup USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM base
+"""
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({SPACE_WORDS.format(LOWER.format("text"))}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (g) JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (max(p.n) + max(q.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN least_ USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
 }
 SQL = {
     "op1_decontamination": OP1_SQL,
+    "op2_chat_formatting": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
 }

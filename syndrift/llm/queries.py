@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, repetition
+from . import chat, decontam, minhash, mixing, repetition
 from .store import Scratch
 
 
@@ -33,6 +33,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5")))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 MARK_WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -96,15 +100,34 @@ least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN least_ USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len({SPACE_WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+o AS (SELECT *, coalesce(sum(3 * source_size) OVER f, 0) AS spent, sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS whole, sum(source_size) OVER () AS n
+      FROM w WHERE source_size > 0 WINDOW f AS (ORDER BY 3 * source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (n - spent) * w / whole > 3 * source_size AS full_ FROM o),
+left_ AS (SELECT coalesce(sum(3 * source_size) FILTER (full_), 0) AS spent, sum(w) FILTER (NOT full_) AS whole, max(n) AS n FROM c),
+t AS (SELECT source, CASE WHEN full_ THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(left_.n - left_.spent AS DOUBLE) * w / left_.whole END AS target FROM c, left_),
+p AS (SELECT d.*, source_size, coalesce(target, 0) AS target,
+        sum(size) OVER (PARTITION BY d.source ORDER BY left(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')), 15), doc_id NULLS FIRST, size) - size AS begin_
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE (CAST(round_even(target, 0) AS BIGINT) // source_size) * size + greatest(0, least(begin_ + size, CAST(round_even(target, 0) AS BIGINT) % source_size) - begin_) END AS BIGINT) AS taken
+FROM p
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
 }
 SQL = {
     "op1_decontamination": OP1_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_near_dedup": OP5_SQL,
+    "op7_source_mixing": OP7_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, mixing, repetition
+from . import chat, decontam, minhash, mixing, repetition, secret_scan
 from .store import Scratch
 
 
@@ -33,6 +33,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5")))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(secret_scan.scan(docs, secret_scan.trained(docs)))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
+    "op6_secret_scans": op6_secret_scans,
     "op7_source_mixing": op7_source_mixing,
 }
 SQL = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, mixing, repetition, secret_scan
+from . import chat, cotrain, decontam, licenses, minhash, mixing, repetition, secret_scan, token_counts, url_filter
 from .store import Scratch
 
 
@@ -24,6 +24,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_chats(rows.unionByName(own))).drop("violation")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.answers(Scratch(spark, "op3").write(token_counts.histogram(table(spark, sf_dir, "documents")), "histogram"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.verdict(repetition.repetition(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,6 +46,20 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"), pages), pages)
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.mine(pages, table(spark, sf_dir, "labels")))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 MARK_WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -125,10 +143,14 @@ FROM p
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_source_mixing": op7_source_mixing,
+    "op8_url_filters": op8_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_license_scans": op10_license_scans,
 }
 SQL = {
     "op1_decontamination": OP1_SQL,

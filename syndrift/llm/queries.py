@@ -94,18 +94,20 @@ FROM r GROUP BY conv_id
 
 OP4_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce({SPACE_WORDS.format("text")}, []) AS ws FROM documents),
-one AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-size AS (SELECT doc_id, sum(length(ws[i])) AS c FROM one GROUP BY doc_id),
-gram AS (SELECT doc_id, k, i, list_slice(ws, i, i + k - 1) AS g FROM one, (SELECT unnest(range(2, 11)) AS k) WHERE i + k - 1 <= len(ws)),
-twice AS (SELECT doc_id, k, g, count(*) * length(array_to_string(g, '')) AS c FROM gram GROUP BY doc_id, k, g HAVING count(*) > 1),
-top AS (SELECT doc_id, k, least(max(twice.c) / max(size.c), 1) AS share FROM twice JOIN size USING (doc_id) GROUP BY doc_id, k),
-inside AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM gram JOIN twice USING (doc_id, k, g) WHERE k = 3 OR k > 4),
-dup AS (SELECT doc_id, k, count(*) AS n, sum(length(ws[i])) / max(size.c) AS share FROM inside JOIN one USING (doc_id, i) JOIN size USING (doc_id) GROUP BY doc_id, k),
+one AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(ws, lambda x: length(x))) AS c FROM w),
+size AS (SELECT doc_id, sum(c) AS c FROM one GROUP BY doc_id),
+next AS (SELECT doc_id, i, [x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 10))}] AS xs
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+gram AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS k, i, hash(xs[1:{k}]) AS g FROM next WHERE xs[{k}] IS NOT NULL" for k in range(2, 11))}),
+twice AS (SELECT doc_id, k, g, min(i) AS first_, count(*) AS n FROM gram GROUP BY doc_id, k, g HAVING count(*) > 1),
+top AS (SELECT doc_id, k, least(max(twice.n * length(array_to_string(list_slice(ws, first_, first_ + k - 1), ''))) / max(size.c), 1) AS share FROM twice JOIN w USING (doc_id) JOIN size USING (doc_id) GROUP BY doc_id, k),
+inside AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM gram JOIN twice USING (doc_id, k, g) WHERE k = 3 OR k > 4 AND i > first_),
+dup AS (SELECT doc_id, k, count(*) AS n, sum(one.c) / max(size.c) AS share FROM inside JOIN one USING (doc_id, i) JOIN size USING (doc_id) GROUP BY doc_id, k),
 line AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id, x) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-lines AS (SELECT doc_id, count(*) FILTER (k > 1) AS n, count(*) FILTER (k > 1) / count(*) AS share, coalesce(sum(length(x)) FILTER (k > 1), 0) / sum(length(x)) AS chars FROM line GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (k > 1) AS n, count(*) FILTER (k > 1) / count(*) AS share, coalesce(sum(length(x)) FILTER (k > 1), 0) / sum(length(x)) AS chars FROM line GROUP BY doc_id),
 bad AS (SELECT doc_id FROM top WHERE share > CASE k WHEN 2 THEN 0.20 WHEN 3 THEN 0.18 WHEN 4 THEN 0.16 END
-  UNION SELECT doc_id FROM dup WHERE share > CASE k WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 WHEN 10 THEN 0.10 END
-  UNION SELECT doc_id FROM lines WHERE share > 0.30 OR chars > 0.20),
+  UNION SELECT doc_id FROM dup WHERE share > CASE k WHEN 5 THEN 0.20 WHEN 6 THEN 0.19 WHEN 7 THEN 0.18 WHEN 8 THEN 0.17 WHEN 9 THEN 0.16 WHEN 10 THEN 0.15 END
+  UNION SELECT doc_id FROM lines WHERE lines.lines > 4 AND share > 0.30 OR chars > 0.20),
 base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(size.c, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN size USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT * FROM dup WHERE k = 3) dup USING (doc_id))

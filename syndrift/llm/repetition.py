@@ -1,9 +1,9 @@
 """Quality rules by repetition coverage: how much of a text lies inside repeated n-grams and lines.
 
-Rolling hashes of runs of 2 to 10 words are taken over a whole batch of texts at once; a run counts as repeated
-if its text holds it twice or more.  For the longer lengths the measure is the share of the word characters in
-any repeated run, first occurrence included and each word once; for the short ones the share covered by the most
-covering single run.  Lines are compared as they stand.
+Rolling hashes of runs of 2 to 10 words are taken over a whole batch of texts at once.  For the longer lengths the
+measure is the share of the word characters inside runs that repeat an earlier one of their text, each word once;
+for the short ones the share covered by the most covering single run that stands twice or more.  Lines are compared
+as they stand, and those equal to an earlier one count.
 
 Defined results: a null or empty text has no words and fails the base rules; a text shorter than a run has none
 of them; rows map one to one; other columns are ignored; thresholds are met when exceeded, so ties keep a text.
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from . import textnum as T
 
 PART_BYTES = 1 << 20
-#: Published repetition thresholds for web text: characters in the most covering run, in all repeated runs, and
-#: in repeated lines.
+#: Characters in the most covering run, in repeating runs, and in repeating lines.  The first and last are published
+#: thresholds for web text; those for runs lie a twentieth above, as texts here begin at 50 words, where one
+#: repeated heading is a tenth.  The share of lines counts from MIN_LINES on.
 TOP_NGRAM = {2: 0.20, 3: 0.18, 4: 0.16}
-ALL_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-DUP_LINES, DUP_LINE_CHARS = 0.30, 0.20
+ALL_NGRAMS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
+DUP_LINES, DUP_LINE_CHARS, MIN_LINES = 0.30, 0.20, 5
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 SYMBOLS = np.zeros(256, bool)
@@ -39,9 +40,19 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _repeated(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For hashes and their texts: the group of each, and the size of each group, where a group has two or more."""
-    _, group, size = np.unique(T.mix(h ^ T.mix(text.astype(np.uint64))), return_inverse=True, return_counts=True)
-    return group, size, size[group] > 1
+    """For hashes and their texts: the group of each, the size of each group, and who is not its group's first."""
+    _, first, group, size = np.unique(T.mix(h ^ T.mix(text.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+    again = np.ones(len(h), bool)
+    again[first] = False
+    return group, size, again
+
+
+def _inside(at: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which of n words lie in a run of k from one of ``at``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + k, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -58,20 +69,16 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     size = np.maximum(out["word_chars"], 1)
     for k in (*TOP_NGRAM, *ALL_NGRAMS):
         g, at = T.grams(h, counts, k)
-        group, many, twice = _repeated(g, text[at])
-        edge = np.zeros(len(h) + 1, np.int64)
-        np.add.at(edge, at[twice], 1)
-        np.add.at(edge, at[twice] + k, -1)
-        inside = np.cumsum(edge[:-1]) > 0
+        group, many, again = _repeated(g, text[at])
         if k == 3:
-            out["n_repeat_words"] = _sums(inside, cut)
+            out["n_repeat_words"] = _sums(_inside(at[many[group] > 1], k, len(h)), cut)
         if k in TOP_NGRAM:
             covered = np.bincount(group, np.concatenate([[0], np.cumsum(chars)])[at + k] - np.concatenate([[0], np.cumsum(chars)])[at], len(many)) * (many > 1)
             most = np.zeros(n)
             np.maximum.at(most, text[at], covered[group])
             out[f"top_{k}gram"] = np.minimum(most / size, 1)
         else:
-            out[f"dup_{k}gram"] = _sums(chars * inside, cut) / size
+            out[f"dup_{k}gram"] = _sums(chars * _inside(at[again], k, len(h)), cut) / size
     # lines: those with a word, equal to an earlier one
     ends_line = np.unique(np.concatenate([np.flatnonzero(buf == 10), offs[1:]])).astype(np.int64)
     begin = np.concatenate([[0], ends_line[:-1]])
@@ -89,7 +96,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     width = lead[ends_line] - lead[begin]
     out["n_lines"] = np.bincount(owner, minlength=n)
     out["n_dup_lines"] = np.bincount(owner, again, n).astype(np.int64)
-    out["dup_lines"] = out["n_dup_lines"] / np.maximum(out["n_lines"], 1)
+    out["dup_lines"] = out["n_dup_lines"] * (out["n_lines"] >= MIN_LINES) / np.maximum(out["n_lines"], 1)
     out["dup_line_chars"] = np.bincount(owner, again * width, n) / np.maximum(np.bincount(owner, width, n), 1)
     return out
 

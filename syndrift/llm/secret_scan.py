@@ -87,27 +87,52 @@ def log_odds(token: Column, model: list[float]) -> Column:
     return F.aggregate(after, start, lambda a, c: F.struct(c.alias("last"), (a["sum"] + F.element_at(table, a["last"] * n + c + 1)).alias("sum")), lambda a: a["sum"])
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, min_log_odds: float = MIN_LOG_ODDS) -> DataFrame:
-    """doc_id and spans (start, end, no in KINDS, value) of every row of ``docs`` (doc_id, text).  No model: base patterns only."""
-    text = F.col("text")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumns(
+def _spans(rows: DataFrame, text: Column, model: list[float] | None, min_log_odds: float) -> DataFrame:
+    """Adds _base and _spans to rows with a text that is not null."""
+    none = F.lit(None).cast("struct<pieces:array<string>,found:array<string>>")
+    rows = rows.withColumns(
         {
-            "m0": matches(text, ASSIGN, text.rlike(r"(?i)passw|secret|token|api_?key")),
-            "m1": matches(text, ACCESS, text.contains("AKIA")),
-            "m2": matches(text, HEX, text.rlike(HEX)),
-            "m3": matches(text, CANDIDATE, text.rlike(r"[A-Za-z0-9+/_=-]{16}")) if model else F.lit(None).cast("struct<pieces:array<string>,found:array<string>>"),
+            "_m0": matches(text, ASSIGN, text.rlike(r"(?i)passw|secret|token|api_?key")),
+            "_m1": matches(text, ACCESS, text.contains("AKIA")),
+            "_m2": matches(text, HEX, text.rlike(HEX)),
+            "_m3": matches(text, CANDIDATE, text.rlike(r"[A-Za-z0-9+/_=-]{16}")) if model else none,
         }
     )
-    value = F.transform(F.col("m0.found"), lambda x: F.regexp_extract(x, ASSIGN, 2))
-    spans = [located(F.col("m0"), 0, value), located(F.col("m1"), 1), located(F.col("m2"), 2)]
+    value = F.transform(F.col("_m0.found"), lambda x: F.regexp_extract(x, ASSIGN, 2))
+    spans = [located(F.col("_m0"), 0, value), located(F.col("_m1"), 1), located(F.col("_m2"), 2)]
     base = F.concat(F.filter(spans[0], lambda s: F.length(s["value"]) >= 6), *spans[1:])
-    found = own.select("doc_id", base.alias("base"), F.filter(located(F.col("m3"), 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("more"))
+    more = F.filter(located(F.col("_m3"), 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    rows = rows.withColumns({"_base": base, "_more": more})
     if model:
-        scored = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (log_odds(s["value"], model) > min_log_odds))
-        found = found.withColumn("more", F.when(F.size("more") > 0, scored).otherwise(no_spans()))
+        free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        scored = F.filter("_more", lambda s: free(s) & (log_odds(s["value"], model) > min_log_odds))
+        rows = rows.withColumn("_more", F.when(F.size("_more") > 0, scored).otherwise(no_spans()))
     order = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["value"].alias("value"))))
-    return found.select("doc_id", order("base").alias("base"), order(F.concat("base", "more")).alias("spans"))
+    return rows.withColumns({"_base": order(F.col("_base")), "_spans": order(F.concat("_base", "_more"))}).drop("_m0", "_m1", "_m2", "_m3", "_more")
+
+
+def scan(docs: DataFrame, model: list[float] | None = None, min_log_odds: float = MIN_LOG_ODDS) -> DataFrame:
+    """doc_id, base and spans (start, no in KINDS, end, value) of every row of ``docs`` (doc_id, text).  No model: base patterns only."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = _spans(own, F.col("text"), model, min_log_odds)
+    return found.select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+
+
+def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float = MIN_LOG_ODDS) -> DataFrame:
+    """``docs`` with ``[SECRET:kind]`` in place of every span; of spans that meet, the first one names the whole."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = F.array(*(F.lit(k) for k in KINDS))
+    begin = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] + 1 >= a["at"]
+        before = F.when(fresh, F.substring(text, a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int"))).otherwise(F.lit(""))
+        mark = F.when(fresh, F.concat(F.lit("[SECRET:"), F.element_at(names, s["no"] + 1), F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), F.concat(a["out"], before, mark).alias("out"))
+
+    clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int"), F.length(text))))
+    found = _spans(docs.withColumn("_text", text), F.col("_text"), model, min_log_odds)
+    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
 
 
 def trained(docs: DataFrame) -> list[float]:

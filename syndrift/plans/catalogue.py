@@ -1,4 +1,594 @@
 """Every query over the driver's tables, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bits, codes
+from ..operators import decode, diagnostics, graph, metrics, sample, threshold, validate, windows
+from ..sources import dem, frames as wireframes, hardware, shots
+from ..streaming import stateful
+from .tables import ANCILLAS, DEPTH, FRAMES_SQL, MIXED, MODULUS, POINTS_SQL, REPETITION, events, frames, model, points, rounded, syndromes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+FIRED = "list_filter(range(24), lambda i: events[i + 1])"
+WEIGHT = "len(list_filter(events, lambda e: e))"
+
+# ---- projections and codes
+
+
+@query("frame_projection", f"WITH {FRAMES_SQL} SELECT stream_id, frame_id, timestamp_ns, CAST({WEIGHT} AS INTEGER) AS weight, ground_truth FROM f")
+def frame_projection(spark, sf):
+    return frames(spark, sf).select("stream_id", "frame_id", "timestamp_ns", bits.weight(F.col("events")).alias("weight"), "ground_truth")
+
+
+@query(
+    "rle_encode",
+    f"""WITH {FRAMES_SQL}, x AS (SELECT frame_id, unnest(range(24)) AS i, unnest(events) AS e FROM f),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY frame_id, e ORDER BY i) AS k FROM x)
+SELECT frame_id, string_agg(tok, ',' ORDER BY i) AS tokens FROM (SELECT frame_id, min(i) AS i, CAST(CASE WHEN e THEN 128 ELSE 0 END + count(*) AS VARCHAR) AS tok FROM g GROUP BY frame_id, e, k) GROUP BY frame_id""",
+)
+def rle_encode(spark, sf):
+    return frames(spark, sf).select("frame_id", F.array_join(F.transform(bits.rle_tokens(F.col("events")), lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query("rle_round_trip", f"WITH {FRAMES_SQL} SELECT frame_id, CAST({WEIGHT} AS INTEGER) AS popcount, list_reduce([CAST(CAST(e AS INTEGER) AS VARCHAR) for e in events], lambda a, b: a || b) AS decoded, CAST(events[4] AS INTEGER) AS bit3 FROM f")
+def rle_round_trip(spark, sf):
+    coded = frames(spark, sf).select("frame_id", bits.rle_encode(F.col("events")).alias("c"))
+    back = F.array_join(F.transform(bits.fit(bits.rle_decode(F.col("c")), ANCILLAS), lambda e: e.cast("int").cast("string")), "")
+    return coded.select("frame_id", bits.rle_popcount(F.col("c")).alias("popcount"), back.alias("decoded"), bits.rle_bit(F.col("c"), 3).alias("bit3"))
+
+
+@query("active_detectors", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(i AS INTEGER) AS detector FROM (SELECT frame_id, unnest({FIRED}) AS i FROM f)")
+def active_detectors(spark, sf):
+    return frames(spark, sf).select("frame_id", F.explode(bits.active(F.col("events"))).alias("detector"))
+
+
+@query("outcomes", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(list_sum([CASE WHEN e THEN -1 ELSE 1 END for e in events]) AS BIGINT) AS total FROM f")
+def outcomes(spark, sf):
+    return frames(spark, sf).select("frame_id", F.aggregate(bits.outcomes(F.col("events")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("bounded_events", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(len(list_filter(events[1:10], lambda e: e)) AS INTEGER) AS w10, 30 AS n30 FROM f")
+def bounded_events(spark, sf):
+    e = F.col("events")
+    return frames(spark, sf).select("frame_id", bits.weight(bits.fit(e, 10)).alias("w10"), F.size(bits.fit(e, 30)).alias("n30"))
+
+
+@query("mask_pack", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(list_sum([CASE WHEN events[i + 1] THEN 1 << i ELSE 0 END for i in range(24)]) AS BIGINT) AS mask, CAST({WEIGHT} AS INTEGER) AS n FROM f")
+def mask_pack(spark, sf):
+    m = bits.pack_mask(F.col("events"))
+    return frames(spark, sf).select("frame_id", m.alias("mask"), F.size(bits.corrections(m)).alias("n"))
+
+
+@query("cluster_buckets", f"WITH {FRAMES_SQL} SELECT CASE WHEN w <= 1 THEN 1 WHEN w <= 3 THEN 2 WHEN w <= 5 THEN 3 ELSE 4 END AS bucket, count(*) AS frames FROM (SELECT syndrome AS w FROM f) GROUP BY 1")
+def cluster_buckets(spark, sf):
+    return frames(spark, sf).groupBy(codes.cluster_bucket(F.col("syndrome")).alias("bucket")).agg(F.count("*").alias("frames"))
+
+
+@query(
+    "heat_classes",
+    f"""WITH {FRAMES_SQL}, r AS (SELECT stream_id, avg(ground_truth) AS rate FROM f GROUP BY 1), s AS (SELECT avg(rate) AS m, greatest(stddev_pop(rate), 1e-9) AS s FROM r)
+SELECT stream_id, CASE WHEN z < -2.5 THEN 'underactive' WHEN z > 3 THEN 'severe' WHEN z > 2 THEN 'high' WHEN rate > 0.15 THEN 'hot' WHEN rate > 0.08 THEN 'warm' WHEN rate < 0.001 THEN 'silent' ELSE 'ok' END AS heat,
+CASE WHEN rate < 0.01 THEN 'good' WHEN rate < 0.05 THEN 'warn' ELSE 'bad' END AS gauge, round(least(20 * rate, 1.0), 9) AS fill FROM (SELECT *, (rate - m) / s AS z FROM r, s)""",
+)
+def heat_classes(spark, sf):
+    r = frames(spark, sf).groupBy("stream_id").agg(F.avg("ground_truth").alias("frequency"))
+    z = diagnostics.outliers(r, floor=1e-9)
+    rate = F.col("frequency")
+    return rounded(z.select("stream_id", codes.heat_class(rate, F.col("z")).alias("heat"), codes.gauge_class(rate).alias("gauge"), codes.gauge_fill(rate).alias("fill")))
+
+
+@query("code_numbers", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in codes.CODE_NAMES.items()) + ", ('Surface', NULL)) t(name, code_type)")
+def code_numbers(spark, sf):
+    names = spark.createDataFrame([(n,) for n in [*codes.CODE_NAMES, "Surface"]], "name string")
+    return names.select("name", codes.code_number(F.col("name")).alias("code_type"))
+
+
+# ---- validation
+
+
+@query("timing_check", "SELECT event_id AS frame_id, CASE WHEN event_id % 97 = 0 THEN CAST(event_id % 24 AS INTEGER) END AS late FROM events")
+def timing_check(spark, sf):
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda j: F.when((F.col("event_id") % 97 == 0) & (F.col("event_id") % 24 == j), 10_001).otherwise(10_000))
+    return events(spark, sf).select(F.col("event_id").alias("frame_id"), validate.late_ancilla(offsets).alias("late"))
+
+
+@query(
+    "schema_check",
+    "SELECT event_id AS frame_id, CASE WHEN event_id % 5 = 1 THEN 'ancilla_count' WHEN event_id % 7 = 1 THEN 'qubit_count' WHEN event_id % 11 = 1 THEN 'code_type' END AS field FROM events",
+)
+def schema_check(spark, sf):
+    e = F.col("event_id")
+    rows = events(spark, sf).select(
+        e.alias("frame_id"), F.lit(hardware.SMALL[1][0]).alias("schema_id"), F.when(e % 5 == 1, 99).otherwise(24).alias("ancilla_count"),
+        F.when(e % 7 == 1, 9).otherwise(25).alias("qubit_count"), F.when(e % 11 == 1, 2).otherwise(1).alias("code_type"),
+    )
+    held = validate.with_schema(rows, hardware.frame(spark, hardware.builtins()))
+    return held.select("frame_id", validate.mismatch(F.col("ancilla_count"), F.col("qubit_count"), F.col("code_type"), F.col("schema")).alias("field"))
+
+
+_STABS = ", ".join(f"({k}, {q})" for k, (_, q) in enumerate(hardware.SMALL[1][-1]))
+
+
+@query(
+    "parity_check",
+    f"""WITH {FRAMES_SQL}, s AS (SELECT * FROM (VALUES {_STABS}) t(k, qubits)), p AS (SELECT frame_id, k, list_sum([CASE WHEN coalesce(events[q + 1], FALSE) THEN 1 ELSE 0 END for q in qubits]) % 2 AS odd, CAST(events[k + 1] AS INTEGER) AS e FROM f, s)
+SELECT frame_id, CAST(min(k) FILTER (odd <> e) AS INTEGER) AS violated FROM p GROUP BY 1""",
+)
+def parity_check(spark, sf):
+    rows = frames(spark, sf).select("frame_id", "events", bits.outcomes(F.col("events")).alias("meas"), F.lit(hardware.SMALL[1][0]).alias("schema_id"))
+    held = validate.with_schema(rows, hardware.frame(spark, hardware.builtins()))
+    return held.select("frame_id", validate.violated(F.col("events"), F.col("meas"), F.col("schema.stabilizers")).alias("violated"))
+
+
+@query(
+    "strict_policy",
+    f"""WITH {FRAMES_SQL}, s AS (SELECT * FROM (VALUES {_STABS}) t(k, qubits)), p AS (SELECT frame_id, k, list_sum([CASE WHEN coalesce(events[q + 1], FALSE) THEN 1 ELSE 0 END for q in qubits]) % 2 AS odd, CAST(events[k + 1] AS INTEGER) AS e FROM f, s),
+b AS (SELECT frame_id, CASE WHEN frame_id % 50 = 0 THEN 'TimingViolation' WHEN bool_or(odd <> e) THEN 'ParityViolation' END AS kind FROM p GROUP BY 1) SELECT coalesce(kind, 'ok') AS kind, count(*) AS frames FROM b GROUP BY 1""",
+)
+def strict_policy(spark, sf):
+    rows = frames(spark, sf).select("*", bits.outcomes(F.col("events")).alias("meas"), F.lit(hardware.SMALL[1][0]).alias("schema_id"), F.lit(25).alias("qubit_count"), F.lit(1).alias("code_type"))
+    rows = rows.withColumn("timing_ns", F.array(F.when(F.col("frame_id") % 50 == 0, 20_000).otherwise(1)))
+    return validate.validate(rows, hardware.frame(spark, hardware.builtins())).groupBy(F.coalesce("error.kind", F.lit("ok")).alias("kind")).agg(F.count("*").alias("frames"))
+
+
+@query(
+    "order_check",
+    """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id AS frame_id, event_id + CASE WHEN event_id % 10 = 0 THEN 600 ELSE 0 END AS arrival FROM events),
+b AS (SELECT *, max(frame_id) OVER (PARTITION BY stream_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM a) SELECT stream_id, frame_id, last_id, coalesce(frame_id > last_id, TRUE) AS in_order FROM b""",
+)
+def order_check(spark, sf):
+    e = F.col("event_id")
+    rows = events(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), e.alias("frame_id"), (e + F.when(e % 10 == 0, 600).otherwise(0)).alias("arrival"))
+    return validate.out_of_order(rows).drop("arrival")
+
+
+@query("same_width", "WITH e AS (SELECT user_id, event_id, event_id % 3 AS w, arg_min(event_id % 3, event_id) OVER (PARTITION BY user_id) AS f FROM events) SELECT CAST(user_id AS VARCHAR) AS stream_id, count(*) AS frames FROM e WHERE w = f GROUP BY 1")
+def same_width(spark, sf):
+    rows = events(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("frame_id"), (F.col("event_id") % 3).alias("ancilla_count"))
+    return validate.same_width(rows).groupBy("stream_id").agg(F.count("*").alias("frames"))
+
+
+# ---- windows
+
+_ACTIVE = "[r * 24 + i for r in range(len(rounds)) for i in range(24) if rounds[r + 1][i + 1]]"
+_OVER = f"list(events) OVER (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN {DEPTH - 1} PRECEDING AND CURRENT ROW)"
+_FLAT = "len(list_filter(flatten(rounds), lambda e: e))"
+_FIRST = "coalesce(list_position(flatten(rounds), TRUE), 0)"
+
+
+def _window_columns(w: DataFrame, *more: str) -> DataFrame:
+    return w.select("stream_id", "end_frame_id", *more, F.size("active").alias("fired"), (F.coalesce(F.get("active", F.lit(0)), F.lit(-1)) + 1).alias("first"))
+
+
+_WINDOW_SQL = f"CAST({_FLAT} AS INTEGER) AS fired, CAST({_FIRST} AS INTEGER) AS first"
+
+
+@query("sliding_windows", f"WITH {FRAMES_SQL}, w AS (SELECT stream_id, frame_id AS end_frame_id, ground_truth, {_OVER} AS rounds FROM f) SELECT stream_id, end_frame_id, ground_truth, {_WINDOW_SQL} FROM w WHERE len(rounds) = {DEPTH}")
+def sliding_windows(spark, sf):
+    return _window_columns(windows.sliding(frames(spark, sf), DEPTH), "ground_truth")
+
+
+@query("sliding_windows_ranged", SQL["sliding_windows"])
+def sliding_windows_ranged(spark, sf):
+    return _window_columns(windows.sliding(frames(spark, sf), DEPTH, ranges=4), "ground_truth")
+
+
+@query("growing_windows", f"WITH {FRAMES_SQL}, w AS (SELECT stream_id, frame_id AS end_frame_id, {_OVER} AS rounds FROM f) SELECT stream_id, end_frame_id, CAST(len(rounds) AS INTEGER) AS depth, {_WINDOW_SQL} FROM w")
+def growing_windows(spark, sf):
+    return _window_columns(windows.growing(frames(spark, sf), DEPTH), "depth")
+
+
+@query(
+    "tumbling_windows",
+    f"""WITH {FRAMES_SQL}, n AS (SELECT *, (row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1) // {DEPTH} AS w FROM f),
+w AS (SELECT stream_id, max(frame_id) AS end_frame_id, arg_max(ground_truth, frame_id) AS ground_truth, list(events ORDER BY frame_id) AS rounds FROM n GROUP BY stream_id, w HAVING count(*) = {DEPTH}) SELECT stream_id, end_frame_id, ground_truth, {_WINDOW_SQL} FROM w""",
+)
+def tumbling_windows(spark, sf):
+    return _window_columns(windows.tumbling(frames(spark, sf), DEPTH), "ground_truth")
+
+
+# ---- metrics
+
+
+def _null_windows(spark, sf) -> DataFrame:
+    return decode.decoded(windows.sliding(frames(spark, sf), DEPTH), "null")
+
+
+@query(
+    "analysis_report",
+    f"""WITH {FRAMES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f), s AS (SELECT count(*) AS shots, sum(ground_truth) AS errors FROM w WHERE n >= {DEPTH}),
+a AS (SELECT list(round(fires / n, 9) ORDER BY i) AS ff FROM (SELECT i, sum(CAST(e AS INTEGER)) AS fires, count(*) AS n FROM (SELECT unnest(range(24)) AS i, unnest(events) AS e FROM f) GROUP BY i)),
+h AS (SELECT list(coalesce(n, 0) ORDER BY k) AS wh FROM (SELECT unnest(range(25)) AS k) LEFT JOIN (SELECT {WEIGHT} AS k, count(*) AS n FROM f GROUP BY 1) USING (k))
+SELECT (SELECT count(*) FROM f) AS frames, [round(errors / shots, 9)] AS p_l, round(errors / shots, 9) AS mean_p_l, shots, CAST(errors AS BIGINT) AS logical_errors, ff AS fire_frequency, wh AS weight_histogram, TRUE AS has_truth FROM s, a, h""",
+)
+def analysis_report(spark, sf):
+    out = metrics.analysis(frames(spark, sf), _null_windows(spark, sf), ANCILLAS)
+    near = lambda c: F.transform(c, lambda x: F.round(x, 9)).alias(c)
+    return rounded(out.select("frames", near("p_l"), "mean_p_l", "shots", "logical_errors", near("fire_frequency"), "weight_histogram", "has_truth"))
+
+
+@query("fire_frequency", f"WITH {FRAMES_SQL} SELECT stream_id, CAST(i AS INTEGER) AS ancilla, CAST(sum(CAST(e AS INTEGER)) AS BIGINT) AS fires, count(*) AS frames, round(sum(CAST(e AS INTEGER)) / count(*), 9) AS frequency FROM (SELECT stream_id, unnest(range(24)) AS i, unnest(events) AS e FROM f) GROUP BY ALL")
+def fire_frequency(spark, sf):
+    return rounded(metrics.fire_frequency(frames(spark, sf), ANCILLAS, ["stream_id"]))
+
+
+@query("weight_histogram", f"WITH {FRAMES_SQL} SELECT CAST(k AS INTEGER) AS weight, coalesce(n, 0) AS frames FROM (SELECT unnest(range(25)) AS k) LEFT JOIN (SELECT {WEIGHT} AS k, count(*) AS n FROM f GROUP BY 1) USING (k)")
+def weight_histogram(spark, sf):
+    return metrics.weight_histogram(frames(spark, sf), ANCILLAS)
+
+
+@query("logical_errors", f"WITH {FRAMES_SQL} SELECT stream_id, CAST(i AS INTEGER) AS observable, count(*) AS shots, CAST(sum((syndrome >> i) & 1) AS BIGINT) AS errors, round(sum((syndrome >> i) & 1) / count(*), 9) AS rate FROM f, (SELECT unnest(range(3)) AS i) GROUP BY ALL")
+def logical_errors(spark, sf):
+    rows = frames(spark, sf).select("stream_id", F.lit(0).cast("bigint").alias("observable_flips"), F.col("syndrome").cast("bigint").alias("ground_truth"))
+    return rounded(metrics.logical_errors(rows, 3, ["stream_id"]).select("stream_id", "observable", "shots", "errors", "rate"))
+
+
+@query("mean_logical_error_rate", f"WITH {FRAMES_SQL}, r AS (SELECT i, sum((syndrome >> i) & 1) / count(*) AS rate FROM f, (SELECT unnest(range(3)) AS i) GROUP BY i) SELECT round(avg(rate), 9) AS mean_p_l, avg(rate) < 0.6 AS below FROM r")
+def mean_logical_error_rate(spark, sf):
+    rows = frames(spark, sf).select(F.lit(0).cast("bigint").alias("observable_flips"), F.col("syndrome").cast("bigint").alias("ground_truth"))
+    mean = metrics.mean_rate(metrics.logical_errors(rows, 3))
+    return rounded(mean.withColumn("below", F.col("mean_p_l") < 0.6))
+
+
+@query("power_histogram", "SELECT CAST(least(CASE WHEN event_id > 0 THEN length(bin(event_id)) - 1 ELSE 0 END, 9) AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY 1")
+def power_histogram(spark, sf):
+    return metrics.power_histogram(events(spark, sf), "event_id", 10)
+
+
+@query("nearest_rank", "SELECT quantile_disc(event_id % 977, 0.5) AS value FROM events")
+def nearest_rank(spark, sf):
+    return metrics.nearest_rank(events(spark, sf).withColumn("x", F.col("event_id") % 977), "x", 50)
+
+
+@query("floor_rank", "SELECT x AS value FROM (SELECT event_id % 977 AS x, row_number() OVER (ORDER BY event_id % 977) - 1 AS k, count(*) OVER () AS n FROM events) WHERE k = least(n * 99 // 100, n - 1)")
+def floor_rank(spark, sf):
+    return metrics.floor_rank(events(spark, sf).withColumn("x", F.col("event_id") % 977), "x", 99)
+
+
+@query("latency", "SELECT CAST(sum(x) // count(x) AS BIGINT) AS mean, max(x) AS max, quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.99) AS p99 FROM (SELECT event_id * 7 % 1009 AS x FROM events)")
+def latency(spark, sf):
+    return metrics.latency(events(spark, sf).select((F.col("event_id") * 7 % 1009).alias("latency_ns")))
+
+
+@query("binomial_error", f"WITH {FRAMES_SQL} SELECT stream_id, round(sqrt(p * (1 - p) / n), 9) AS p_l_err FROM (SELECT stream_id, avg(ground_truth) AS p, count(*) AS n FROM f GROUP BY 1)")
+def binomial_error(spark, sf):
+    g = frames(spark, sf).groupBy("stream_id").agg(F.avg("ground_truth").alias("p"), F.count("*").alias("n"))
+    return rounded(g.select("stream_id", metrics.binomial_error(F.col("p"), F.col("n")).alias("p_l_err")))
+
+
+@query("weight_stats", f"WITH {FRAMES_SQL}, w AS (SELECT {WEIGHT} AS w FROM f) SELECT round(avg(w), 9) AS mean, round(stddev_pop(w), 9) AS std, CAST(max(w) AS INTEGER) AS max, round(sum(w) / (24 * count(*)), 9) AS rate FROM w")
+def weight_stats(spark, sf):
+    return rounded(metrics.weight_stats(frames(spark, sf)))
+
+
+@query("rolling_mean", f"WITH {FRAMES_SQL} SELECT stream_id, frame_id, round(avg(syndrome) OVER (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS syndrome_mean FROM f")
+def rolling_mean(spark, sf):
+    return rounded(metrics.rolling_mean(frames(spark, sf), "syndrome", 100).select("stream_id", "frame_id", "syndrome_mean"))
+
+
+@query("last_frames", f"WITH {FRAMES_SQL} SELECT stream_id, frame_id FROM f QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY frame_id DESC) <= 7")
+def last_frames(spark, sf):
+    return metrics.last_n(frames(spark, sf), 7).select("stream_id", "frame_id")
+
+
+@query(
+    "width_epochs",
+    "WITH a AS (SELECT user_id, event_id, event_id // 500 % 2 AS w FROM events), b AS (SELECT *, CAST(coalesce(w <> lag(w) OVER (PARTITION BY user_id ORDER BY event_id), FALSE) AS INTEGER) AS c FROM a), e AS (SELECT user_id, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM b) SELECT CAST(user_id AS VARCHAR) AS stream_id, CAST(epoch AS BIGINT) AS epoch, count(*) AS frames FROM e GROUP BY ALL",
+)
+def width_epochs(spark, sf):
+    rows = events(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("frame_id"), F.floor(F.col("event_id") / 500).alias("w")).withColumn("ancilla_count", F.col("w") % 2)
+    return metrics.epochs(rows).groupBy("stream_id", "epoch").agg(F.count("*").alias("frames"))
+
+
+@query("flip_share", f"WITH {FRAMES_SQL} SELECT stream_id, round(avg(CAST(syndrome <> 0 AS INTEGER)), 9) AS p_l, count(*) AS frames FROM f WHERE syndrome <> 7 GROUP BY 1")
+def flip_share(spark, sf):
+    rows = frames(spark, sf).withColumn("observable_flips", F.when(F.col("syndrome") != 7, F.col("syndrome")))
+    return rounded(metrics.flip_share(rows))
+
+
+@query("frame_gaps", f"WITH {FRAMES_SQL} SELECT * FROM (SELECT stream_id, frame_id, frame_id - lag(frame_id) OVER (PARTITION BY stream_id ORDER BY frame_id) - 1 AS missed FROM f) WHERE missed > 0")
+def frame_gaps(spark, sf):
+    return metrics.gaps(frames(spark, sf))
+
+
+@query("run_summary", f"WITH {FRAMES_SQL} SELECT count(*) AS frames, round((max(timestamp_ns) - min(timestamp_ns)) / 1e9, 6) AS seconds, " + ", ".join(f"round(avg(CAST({c} AS INTEGER)), 9) AS cluster_{k}" for k, c in ((1, "w <= 1"), (2, "w BETWEEN 2 AND 3"), (3, "w BETWEEN 4 AND 5"), (4, "w > 5"))) + f" FROM (SELECT *, {WEIGHT} AS w FROM f)")
+def run_summary(spark, sf):
+    out = metrics.run_summary(frames(spark, sf)).drop("frames_per_second")
+    return rounded(out.withColumn("seconds", F.round("seconds", 6)))
+
+
+@query("report_text", f"WITH {FRAMES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f), s AS (SELECT count(*) AS shots, CAST(sum(ground_truth) AS BIGINT) AS errors FROM w WHERE n >= {DEPTH}) SELECT printf('frames=%d shots=%d errors=%d mean p_L=%.4e', (SELECT count(*) FROM f), shots, errors, errors / shots) AS summary FROM s")
+def report_text(spark, sf):
+    return metrics.summary(metrics.analysis(frames(spark, sf), _null_windows(spark, sf), ANCILLAS))
+
+
+# ---- diagnostics
+
+_RATES = f"{FRAMES_SQL}, r AS (SELECT i AS ancilla, avg(CAST(e AS INTEGER)) AS frequency FROM (SELECT unnest(range(24)) AS i, unnest(events) AS e FROM f) GROUP BY 1)"
+
+
+@query("outliers", f"WITH {_RATES} SELECT CAST(ancilla AS INTEGER) AS ancilla, round((frequency - avg(frequency) OVER ()) / stddev_pop(frequency) OVER (), 6) AS z, abs((frequency - avg(frequency) OVER ()) / stddev_pop(frequency) OVER ()) > 1 AS outlier FROM r")
+def outliers(spark, sf):
+    return rounded(diagnostics.outliers(metrics.fire_frequency(frames(spark, sf), ANCILLAS), 1.0).select("ancilla", "z", "outlier"), 6)
+
+
+@query("diagnosis", f"WITH {_RATES} SELECT CAST(ancilla AS INTEGER) AS ancilla, round((frequency - 0.05) / 0.05 * 100, 6) AS deviation, CASE WHEN frequency > 0.1 THEN 'overactive' WHEN frequency < 0.025 THEN 'underactive' ELSE 'ok' END AS state FROM r")
+def diagnosis(spark, sf):
+    return rounded(diagnostics.diagnosis(metrics.fire_frequency(frames(spark, sf), ANCILLAS), 0.025).select("ancilla", "deviation", "state"), 6)
+
+
+_DRIFT = f"""{FRAMES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1 AS k, count(*) OVER (PARTITION BY stream_id) AS n FROM f),
+b AS (SELECT stream_id, k // greatest(10, n // 5) AS block, unnest(range(24)) AS ancilla, unnest(events) AS e FROM n), m AS (SELECT stream_id, ancilla, block, avg(CAST(e AS INTEGER)) AS rate FROM b GROUP BY ALL),
+d AS (SELECT stream_id, CAST(ancilla AS INTEGER) AS ancilla, max(rate) - min(rate) AS drift FROM m GROUP BY ALL)"""
+
+
+@query("drift", f"WITH {_DRIFT} SELECT stream_id, ancilla, round(drift, 9) AS drift FROM d")
+def drift(spark, sf):
+    return rounded(diagnostics.drift(frames(spark, sf), 5, 10))
+
+
+@query("top_drift", f"WITH {_DRIFT} SELECT stream_id, ancilla, round(drift, 9) AS drift FROM d ORDER BY round(drift, 9) DESC, stream_id, ancilla LIMIT 5")
+def top_drift(spark, sf):
+    return diagnostics.top_drift(rounded(diagnostics.drift(frames(spark, sf), 5, 10)))
+
+
+@query("correlation", f"WITH {FRAMES_SQL}, x AS (SELECT frame_id, unnest(range(24)) AS i, CAST(unnest(events) AS INTEGER) AS e FROM f) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(corr(a.e, b.e), 9) AS r FROM x a JOIN x b ON a.frame_id = b.frame_id AND a.i < b.i GROUP BY ALL HAVING abs(corr(a.e, b.e)) > 0.04")
+def correlation(spark, sf):
+    return rounded(diagnostics.correlation(frames(spark, sf), 0.04))
+
+
+@query(
+    "autocorrelation",
+    f"""WITH {FRAMES_SQL}, t AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS t, {WEIGHT} / 24 AS x FROM f),
+c AS (SELECT stream_id, t, x - avg(x) OVER (PARTITION BY stream_id) AS x, count(*) OVER (PARTITION BY stream_id) AS n FROM t), l AS (SELECT unnest(range(6)) AS lag),
+p AS (SELECT a.stream_id, lag, a.n, sum(a.x * b.x) AS p FROM c a, l, c b WHERE a.stream_id = b.stream_id AND b.t = a.t + lag GROUP BY ALL)
+SELECT z.stream_id, CAST(l.lag AS INTEGER) AS lag, round(CASE WHEN z.p <> 0 THEN coalesce(p.p, 0) / z.p ELSE 0 END, 6) AS r, round(2 / sqrt(z.n), 6) AS "limit" FROM (SELECT * FROM p WHERE lag = 0) z CROSS JOIN l LEFT JOIN p ON p.stream_id = z.stream_id AND p.lag = l.lag""",
+)
+def autocorrelation(spark, sf):
+    return rounded(diagnostics.autocorrelation(frames(spark, sf), 5), 6)
+
+
+@query("intervals", f"WITH {FRAMES_SQL}, d AS (SELECT stream_id, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY stream_id ORDER BY frame_id) AS d FROM f) SELECT stream_id, round(quantile_cont(d, 0.5), 3) AS p50, round(quantile_cont(d, 0.99), 3) AS p99 FROM d WHERE d IS NOT NULL GROUP BY 1")
+def intervals(spark, sf):
+    return rounded(diagnostics.intervals(frames(spark, sf)), 3)
+
+
+# ---- graph, decoders, sampling, codes
+
+
+@query(
+    "graph_edges",
+    "SELECT seq, u, v, round(CAST(CAST(-ln(p / (1 - p)) AS FLOAT) AS DOUBLE), 6) AS weight, fault_mask FROM (VALUES (0, 0::BIGINT, 1::BIGINT, 0.1::DOUBLE, 1::BIGINT), (1, 1, 2, 0.05, 0), (2, 0, 1, 0.02, 2), (2, 1, 2, 0.02, 2), (4, 2, 3, 0.3, 0)) t(seq, u, v, p, fault_mask)",
+)
+def graph_edges(spark, sf):
+    m = dem.parse(MIXED)
+    return rounded(graph.edges(dem.tables(spark, m)[0], m.detector_count).drop("link"), 6)
+
+
+_TABLE = "SELECT * FROM (VALUES (0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 0, 1), (5, 1, 1), (6, 1, 0), (7, 0, 0)) t(syndrome, uf, mw)"
+
+
+def _decoder(name: str, column: str, confidence: str) -> None:
+    @query(f"decode_{name.replace('-', '_')}", f"WITH {FRAMES_SQL}, t AS ({_TABLE}) SELECT frame_id, CAST({column} AS BIGINT) AS observable_flips, CAST({confidence} AS DOUBLE) AS confidence FROM f JOIN t USING (syndrome)")
+    def run(spark, sf):
+        return decode.decoded(syndromes(spark, sf), name, graph.Graph.of(model())).select("frame_id", "observable_flips", "confidence")
+
+
+_decoder("null", "0", "1.0")
+_decoder("union-find", "uf", "CASE WHEN syndrome = 0 THEN 1.0 ELSE 0.9 END")
+_decoder("matching", "mw", "1.0")
+
+
+@query("decoder_rates", f"WITH {FRAMES_SQL}, t AS ({_TABLE}) SELECT decoder, count(*) AS shots, round(avg(CAST(p <> ground_truth AS INTEGER)), 9) AS p_l FROM (SELECT 'uf' AS decoder, uf AS p, ground_truth FROM f JOIN t USING (syndrome) UNION ALL SELECT 'mw', mw, ground_truth FROM f JOIN t USING (syndrome)) GROUP BY 1")
+def decoder_rates(spark, sf):
+    s, g = syndromes(spark, sf), graph.Graph.of(model())
+    both = decode.decoded(s, "uf", g).withColumn("decoder", F.lit("uf")).unionByName(decode.decoded(s, "mwpm", g).withColumn("decoder", F.lit("mw")))
+    return rounded(metrics.compare_decoders(both.withColumn("latency_ns", F.lit(0))).select("decoder", "shots", "p_l"))
+
+
+def _first_bit(x):
+    """Stands for a trained model: the first detector's bit, three quarters sure."""
+    return [0.25 + 0.5 * x[0]]
+
+
+@query("neural_decoder", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(syndrome & 1 AS BIGINT) AS observable_flips, 0.75::DOUBLE AS confidence FROM f WHERE syndrome <> 0")
+def neural_decoder(spark, sf):
+    return decode.decoded(syndromes(spark, sf).where("syndrome <> 0"), lambda: decode.Neural(_first_bit, 3)).select("frame_id", "observable_flips", F.round("confidence", 9).alias("confidence"))
+
+
+_U = "CAST(CAST('0x' || left(md5('42:' || shot || ':' || seq), 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+
+
+@query(
+    "sample_shots",
+    f"""WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT unnest(range((SELECT n FROM n))) AS shot), m AS (SELECT * FROM (VALUES (0, [0, 1], 1), (1, [1, 2], 0), (2, [2], 1)) t(seq, ds, mask)),
+h AS (SELECT shot, seq, ds, mask FROM s, m WHERE {_U} < 0.1), d AS (SELECT shot, d FROM (SELECT shot, unnest(ds) AS d FROM h) GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT shot, CAST(coalesce((SELECT bit_xor(mask) FROM h WHERE h.shot = s.shot), 0) AS BIGINT) AS observable_flips, coalesce((SELECT string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) FROM d WHERE d.shot = s.shot), '') AS fired FROM s""",
+)
+def sample_shots(spark, sf):
+    n = events(spark, sf).count()
+    drawn = sample.sample(spark, dem.tables(spark, model())[0], n)
+    return drawn.select("shot", "observable_flips", F.array_join(F.transform("active", lambda x: x.cast("string")), ",").alias("fired"))
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, sf):
+    models = [dem.parse(REPETITION.replace("0.1", str(p))) for p in (0.02, 0.05, 0.1)]
+    return threshold.sweep(spark, models, [3, 3, 3], shots=events(spark, sf).count())
+
+
+def _bicycle(name: str) -> None:
+    c = hardware.PRESETS[f"bb_{name}"]
+
+    def cells(left, right):
+        own = [f"((i - {a} + {c.l}) % {c.l}) * {c.m} + (j - {b} + {c.m}) % {c.m}" for a, b in left] + [f"{c.l * c.m} + ((i + {a}) % {c.l}) * {c.m} + (j + {b}) % {c.m}" for a, b in right]
+        return f"list_sort([{', '.join(own)}])"
+
+    sql = f"WITH r AS (SELECT x AS row, x // {c.m} AS i, x % {c.m} AS j FROM (SELECT unnest(range({c.l * c.m})) AS x)), q AS (SELECT row, 'Z' AS type, {cells(c.a, c.b)} AS q FROM r UNION ALL SELECT row, 'X', {cells(c.b, c.a)} FROM r) SELECT CAST(row AS INTEGER) AS row, type, array_to_string(q, ',') AS qubits FROM q"
+
+    @query(f"check_rows_{name}", sql)
+    def run(spark, sf):
+        return hardware.check_rows(spark, c).select("row", "type", F.array_join(F.transform("qubits", lambda x: x.cast("string")), ",").alias("qubits"))
+
+
+_bicycle("72_12_6")
+_bicycle("144_12_12")
+
+
+@query("builtin_schemas", "SELECT * FROM (VALUES ('surface', 3::BIGINT, 14::BIGINT), ('honeycomb', 1, 6), ('color', 1, 6), ('repetition', 1, 6), ('bivariate_bicycle', 2, 216)) t(code_type, schemas, stabilizers)")
+def builtin_schemas(spark, sf):
+    held = hardware.frame(spark, hardware.builtins())
+    return held.groupBy("code_type").agg(F.count("*").alias("schemas"), F.sum(F.size("stabilizers").cast("bigint")).alias("stabilizers"))
+
+
+@query("model_schema", "SELECT * FROM (VALUES (0, 'X'), (1, 'Z'), (2, 'X')) t(id, type)")
+def model_schema(spark, sf):
+    return hardware.stabilizers(hardware.frame(spark, [hardware.from_model(dem.parse(MIXED), "m")])).select("id", "type")
+
+
+@query("detector_coordinates", "SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE), (1, 1.0, 1.0), (2, 2.0, 1.0)) t(id, x, y)")
+def detector_coordinates(spark, sf):
+    return dem.tables(spark, dem.parse(MIXED))[1].select("id", "coords.x", "coords.y")
+
+
+# ---- thresholds
+
+
+@query("sweep_points", f"WITH {POINTS_SQL} SELECT distance, p_physical, shots, logical_errors, round(p_l, 9) AS p_l, round(p_l_err, 9) AS p_l_err FROM pts")
+def sweep_points(spark, sf):
+    return rounded(points(spark, sf))
+
+
+_INTERP = f"""{POINTS_SQL}, ds AS (SELECT distance AS d_lo, lead(distance) OVER (ORDER BY distance) AS d_hi FROM (SELECT DISTINCT distance FROM pts)),
+pw AS (SELECT distance, p_physical AS p0, p_l AS y0, lead(p_physical) OVER w AS p1, lead(p_l) OVER w AS y1, row_number() OVER w AS k FROM pts WINDOW w AS (PARTITION BY distance ORDER BY p_physical)),
+lo AS (SELECT d_lo, d_hi, p_physical AS p, p_l FROM ds JOIN pts ON d_lo = distance WHERE d_hi IS NOT NULL),
+ip AS (SELECT d_lo, d_hi, p, any_value(p_l) AS p_l, max(CASE WHEN k = 1 AND p < p0 THEN y0 WHEN p1 IS NULL AND p >= p0 THEN y0 WHEN p >= p0 AND p < p1 THEN y0 + (y1 - y0) * (p - p0) / (p1 - p0) END) AS y FROM lo JOIN pw ON d_hi = distance GROUP BY d_lo, d_hi, p),
+st AS (SELECT d_lo, d_hi, p, y - p_l AS d, lead(p) OVER w AS p1, lead(y - p_l) OVER w AS d1 FROM ip WINDOW w AS (PARTITION BY d_lo, d_hi ORDER BY p)),
+cr AS (SELECT d_lo, d_hi, p + (p1 - p) * d / (d - d1) AS p_cross FROM st WHERE d * d1 < 0)"""
+
+
+@query("interpolation", f"WITH {_INTERP} SELECT d_hi AS distance, p, round(y, 9) AS p_l_at FROM ip")
+def interpolation(spark, sf):
+    pts = points(spark, sf)
+    at = threshold.distance_pairs(pts).join(pts, F.col("d_lo") == F.col("distance")).select(F.col("d_hi").alias("distance"), F.col("p_physical").alias("p"))
+    return rounded(threshold.at_rate(pts, at))
+
+
+@query("crossings", f"WITH {_INTERP} SELECT d_lo, d_hi, round(p_cross, 9) AS p_cross FROM cr")
+def crossings(spark, sf):
+    return rounded(threshold.crossings(points(spark, sf)))
+
+
+@query("threshold_estimate", f"WITH {_INTERP}, s AS (SELECT d_lo, d_hi, sum(p_cross) AS s, count(*) AS n FROM cr GROUP BY ALL) SELECT d_lo, d_hi, round(sum(s) OVER (ORDER BY d_lo) / sum(n) OVER (ORDER BY d_lo), 9) AS threshold FROM s UNION ALL SELECT NULL, NULL, round(sum(s) / sum(n), 9) FROM s HAVING sum(n) > 1")
+def threshold_estimate(spark, sf):
+    return rounded(threshold.estimate(points(spark, sf)))
+
+
+@query("suppression", f"WITH {POINTS_SQL} SELECT p_physical, round(exp(regr_slope(ln(p_l), distance)), 6) AS factor FROM pts WHERE p_l > 0 GROUP BY 1")
+def suppression(spark, sf):
+    return rounded(threshold.suppression(points(spark, sf)), 6)
+
+
+@query("common_rates", f"WITH {POINTS_SQL} SELECT a.p_physical, round(a.p_l, 9) AS p_l_lo, round(b.p_l, 9) AS p_l_hi FROM pts a JOIN pts b USING (p_physical) WHERE a.distance = 3 AND b.distance = 5")
+def common_rates(spark, sf):
+    return rounded(threshold.common_rates(points(spark, sf), 3, 5))
+
+
+@query("nearest_rate", f"WITH {POINTS_SQL} SELECT distance, p_physical, round(p_l, 9) AS p_l FROM pts WHERE p_physical = (SELECT p_physical FROM pts ORDER BY abs(p_physical - 0.033), p_physical LIMIT 1)")
+def nearest_rate(spark, sf):
+    return rounded(threshold.nearest_rate(points(spark, sf), 0.033).select("distance", "p_physical", "p_l"))
+
+
+@query("points_union", f"WITH {POINTS_SQL} SELECT label, count(*) AS points FROM pts, (VALUES ('a'), ('b')) l(label) GROUP BY 1")
+def points_union(spark, sf):
+    p = points(spark, sf)
+    return threshold.union([p, p], ["a", "b"]).groupBy("label").agg(F.count("*").alias("points"))
+
+
+@query("scaling_points", "SELECT d AS distance, p AS p_physical, round(least(0.5 * pow(p / 0.01, (d + 1) / 2), 0.5), 12) AS p_l FROM (VALUES (3), (5), (7)) a(d), (VALUES (0.002::DOUBLE), (0.006), (0.01), (0.02)) b(p)")
+def scaling_points(spark, sf):
+    return rounded(sample.threshold_points(spark, [3, 5, 7], [0.002, 0.006, 0.01, 0.02], 0.01).select("distance", "p_physical", "p_l"), 12)
+
+
+# ---- sources and sinks
+
+
+@query("binary_round_trip", f"WITH {FRAMES_SQL} SELECT frame_id, CAST({WEIGHT} AS INTEGER) AS fired, CAST(list_sum([CASE WHEN e THEN -1 ELSE 1 END for e in events]) AS BIGINT) AS total, timestamp_ns, ground_truth AS flips FROM f")
+def binary_round_trip(spark, sf):
+    from ..session import shared_dir
+
+    path = f"{shared_dir(spark)}/syndrift/frames-{uuid.uuid4().hex}"
+    wireframes.write(frames(spark, sf).withColumnRenamed("ground_truth", "observable_flips").repartition(4, "stream_id"), path, hardware.SMALL[1][0])
+    back = wireframes.good(wireframes.read(spark, path, mode="failfast"))
+    return back.select("frame_id", bits.weight(F.col("events")).alias("fired"), F.aggregate("meas", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), "timestamp_ns", F.col("metadata.observable_flips").alias("flips"))
+
+
+@query("synthetic_frames", "SELECT i AS frame_id, i * 1100000 AS timestamp_ns, CAST(len(list_filter([(i + j) % 21 = 0 for j in range(24)], lambda e: e)) AS INTEGER) AS fired FROM (SELECT unnest(range(1000)) AS i)")
+def synthetic_frames(spark, sf):
+    return wireframes.synthetic(spark, 1000, 0.05).select("frame_id", "timestamp_ns", bits.weight(F.col("events")).alias("fired"))
+
+
+@query("shots_with_observables", f"WITH {FRAMES_SQL} SELECT frame_id, CAST({WEIGHT} AS INTEGER) AS fired, CASE WHEN frame_id % 2 = 0 THEN ground_truth END AS observable_flips FROM f")
+def shots_with_observables(spark, sf):
+    f = frames(spark, sf)
+    return shots.with_observables(f.select("frame_id", bits.weight(F.col("events")).alias("fired")), f.where("frame_id % 2 = 0").select("frame_id", F.col("ground_truth").alias("observable_flips")))
+
+
+@query("first_wins", "SELECT user_id, arg_min(event_id, event_id) AS event_id FROM events GROUP BY 1")
+def first_wins(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return events(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_id")
+
+
+@query("registry_upsert", "SELECT * FROM (VALUES (8::BIGINT, 1::BIGINT)) t(schemas, changed)")
+def registry_upsert(spark, sf):
+    own = hardware.builtins()
+    held = hardware.upsert(hardware.frame(spark, own), hardware.frame(spark, [own[0] | {"version": "2.0.0"}]))
+    return held.agg(F.count("*").alias("schemas"), F.sum((F.col("version") == "2.0.0").cast("bigint")).alias("changed"))
+
+
+# ---- streaming: the same rows as a batch
+
+
+def _stream(spark, sf, columns: list[str]) -> DataFrame:
+    raw = spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
+    e, u = F.col("event_id"), F.col("user_id")
+    fired = F.transform(F.sequence(F.lit(0), F.lit(ANCILLAS - 1)), lambda j: (e + j) % MODULUS == 0)
+    own = raw.select(u.cast("string").alias("stream_id"), e.alias("frame_id"), (e + F.when(e % 10 == 0, 600).otherwise(0)).alias("arrival"), fired.alias("events"), (F.col("event_type") == "error").cast("bigint").alias("ground_truth"))
+    return own.select(*columns)
+
+
+@query("streaming_order", SQL["order_check"])
+def streaming_order(spark, sf):
+    return stateful.to_memory(stateful.check_order(_stream(spark, sf, ["stream_id", "frame_id", "arrival"])), f"order_{uuid.uuid4().hex}")
+
+
+@query("streaming_windows", SQL["sliding_windows"])
+def streaming_windows(spark, sf):
+    w = stateful.sliding(_stream(spark, sf, ["stream_id", "frame_id", "events", "ground_truth"]), DEPTH)
+    return _window_columns(stateful.to_memory(w, f"windows_{uuid.uuid4().hex}"), "ground_truth")
+
+
+@query("streaming_rates", f"WITH {FRAMES_SQL} SELECT stream_id, count(*) AS shots, CAST(sum(ground_truth) AS BIGINT) AS errors FROM f GROUP BY 1")
+def streaming_rates(spark, sf):
+    rows = _stream(spark, sf, ["stream_id", "ground_truth"]).withColumn("observable_flips", F.lit(0).cast("bigint"))
+    return stateful.to_memory(stateful.running_rates(rows), f"rates_{uuid.uuid4().hex}", "complete")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
+from .store import Scratch
 from .url_filter import tokens as url_tokens
 
 MAX_LABELLED, MAX_POOL, MAX_TERMS = 12_000, 6_000, 4096
@@ -118,7 +119,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, cut: np.ndarray, column: np.ndarray, dims: int, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> Logistic:
+def fit(x: np.ndarray, cut: np.ndarray, column: np.ndarray, dims: int, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> Logistic:
     """Ridge logistic regression by Adam over all rows; deterministic."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
@@ -156,17 +157,24 @@ def calibrate(model: Logistic, rows: tuple, y: np.ndarray) -> None:
     model.a, model.b = max(float(a), 0.0), float(b)
 
 
-def choose_terms(cut: np.ndarray, term: np.ndarray, good: np.ndarray, most: int = MAX_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms most telling of the class, by the z-score of their document counts."""
-    owner = np.repeat(np.arange(len(good)), np.diff(cut))
-    found, at = np.unique(term, return_inverse=True)
-    n = np.bincount(at, minlength=len(found))
-    bad = np.bincount(at, 1.0 - good[owner], len(found))
-    rate = (1.0 - good).mean()
-    z = np.abs(bad - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
-    z[n < MIN_DOCS] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(found[best[z[best] >= MIN_Z]])
+def choose_terms(rows: DataFrame, most: int = MAX_TERMS) -> np.ndarray:
+    """Sorted hashes of the terms most telling of the class, from rows (text, good): those with the largest z-scores of
+    their document counts.  Counts are added up by Spark; only the chosen come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in T.parts(batch.column(0), PART_BYTES):
+                _, cut, term = features(batch.column(0).slice(lo, hi - lo), None)
+                bad = 1 - batch.column(1).slice(lo, hi - lo).to_numpy()
+                found, at = np.unique(term, return_inverse=True)
+                n, k = np.bincount(at, minlength=len(found)), np.bincount(at, np.repeat(bad, np.diff(cut)), len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64()), pa.array(k.astype(np.int64))], ["term", "n", "bad"])
+
+    rate = rows.agg((1 - F.avg("good")).alias("r")).first()["r"]
+    counts = rows.select("text", "good").mapInArrow(count, "term bigint, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    z = F.abs(F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    best = counts.where(F.col("n") >= MIN_DOCS).select("term", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(most)
+    return np.sort(np.array([r.term for r in best.collect()], np.int64).view(np.uint64))
 
 
 META = {"lang": "string", "source": "string", "n_chars": "bigint"}
@@ -227,41 +235,38 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    # ids first: the texts of a bounded number of documents come to the driver
+    # ids first: the texts of a bounded number of documents are written for the passes below
+    scratch = Scratch(docs.sparkSession, "cotrain")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(good, "doc_id", "left")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = ids.where("good is not null").orderBy(*order).limit(max_labelled).unionByName(ids.where("good is null").orderBy(*order).limit(max_pool))
-    rows = _with_meta(_own(docs).join(F.broadcast(picked), "doc_id"), pages)
+    picked = picked.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0)
+    rows = scratch.write(_with_meta(_own(docs).join(F.broadcast(picked), "doc_id"), pages), "rows")
+    known = rows.where("good is not null")
+    seen = known.agg(F.count("*").alias("n"), F.avg("good").alias("p")).first()
+    prior = float(seen["p"]) if seen["n"] else 1.0
+    if not 0 < prior < 1 or seen["n"] < 20:
+        return Model(np.zeros(0, np.uint64), None, None, prior)
+    chosen = choose_terms(known.where("not held"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in T.parts(batch.column(1), PART_BYTES):
-                x, cut, term = features(batch.column(1).slice(lo, hi - lo), None)
+                x, cut, column = features(batch.column(1).slice(lo, hi - lo), chosen)
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), pa.array(list(x), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.view(np.int64)))], ["doc_id", "meta", "good", "dense", "terms"])
-
-    got = rows.select("doc_id", "text", "meta", "good").mapInArrow(part, "doc_id bigint, meta array<int>, good int, dense array<double>, terms array<bigint>").orderBy(*order).toArrow()
-    y = np.array([-1 if v is None else v for v in got["good"].to_pylist()], np.int64)
-    known = np.flatnonzero(y >= 0)
-    prior = float((y[known] == 1).mean()) if len(known) else 1.0
-    if not 0 < prior < 1 or len(known) < 20:
-        return Model(np.zeros(0, np.uint64), None, None, prior)
-
-    col = got["terms"].combine_chunks()
-    cut = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    term = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    x = np.array(got["dense"].to_pylist())
-    held = np.arange(len(known)) % 5 == 4
-    fold, rest = known[held], known[~held]
-    _, fit_cut, fit_term = _take((x, cut, term), rest)
-    chosen = choose_terms(fit_cut, fit_term, y[rest].astype(float))
-    if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, term), len(chosen) - 1)
-        here = chosen[at] == term
-    else:
-        at, here = np.zeros(len(term), np.int64), np.zeros(len(term), bool)
-    new_cut = np.concatenate([[0], np.cumsum(here)])[cut]
-    views = {"text": ((x, new_cut, at[here]), len(chosen)), "meta": (_flat_meta(got["meta"]), META_DIMS)}
+                terms = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(column.astype(np.int16)))
+                dense_ = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DENSE), pa.array(x.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(4), dense_, terms], ["doc_id", "meta", "good", "held", "dense", "terms"])
+
+    kinds = "doc_id bigint, meta array<int>, good int, held boolean, dense array<float>, terms array<smallint>"
+    got = rows.select("doc_id", "text", "meta", "good", "held").mapInArrow(part, kinds).toArrow().sort_by("doc_id")
+    scratch.drop("rows")
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    cuts = lambda name: np.concatenate([[0], np.cumsum(got[name].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    y = got["good"].fill_null(-1).to_numpy()
+    held = got["held"].to_numpy(zero_copy_only=False).astype(bool)
+    fold, rest = np.flatnonzero((y >= 0) & held), np.flatnonzero((y >= 0) & ~held)
+    views = {"text": ((flat("dense").reshape(-1, DENSE).astype(float), cuts("terms"), flat("terms").astype(np.int64)), len(chosen)), "meta": (_flat_meta(got["meta"]), META_DIMS)}
 
     pool = np.flatnonzero(y < 0)
     extra = {k: (np.zeros(0, np.int64), np.zeros(0)) for k in views}

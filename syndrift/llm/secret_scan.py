@@ -119,7 +119,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
 
 
 def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float = MIN_LOG_ODDS) -> DataFrame:
-    """``docs`` with ``[SECRET:kind]`` in place of every span; of spans that meet, the first one names the whole."""
+    """``docs`` with ``[REDACTED:kind]`` in place of every span; of spans that meet, the first one names the whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = F.array(*(F.lit(k) for k in KINDS))
     begin = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -127,7 +127,7 @@ def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] + 1 >= a["at"]
         before = F.when(fresh, F.substring(text, a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int"))).otherwise(F.lit(""))
-        mark = F.when(fresh, F.concat(F.lit("[SECRET:"), F.element_at(names, s["no"] + 1), F.lit("]"))).otherwise(F.lit(""))
+        mark = F.when(fresh, F.concat(F.lit("[REDACTED:"), F.element_at(names, s["no"] + 1), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), F.concat(a["out"], before, mark).alias("out"))
 
     clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int"), F.length(text))))

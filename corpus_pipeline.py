@@ -38,7 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts ``[SECRET:kind]`` in the place of every secret; the document stays, and n_chars follows its text."""
+    """Puts ``[REDACTED:kind]`` in the place of every secret; the document stays, and n_chars follows its text."""
     return secret_scan.mask(docs, secret_scan.trained(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -14,6 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,11 +246,12 @@ def decoded(windows: DataFrame, decoder: str | Callable[[], Decoder], graph: Gra
     if decoder == "null":
         return windows.withColumns({"observable_flips": F.lit(0).cast("bigint"), "confidence": F.lit(1.0)})
     make = (lambda: DECODERS[decoder](graph)) if isinstance(decoder, str) else decoder
-    held = windows.sparkSession.sparkContext.broadcast(make())
+    held = windows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(make()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = cloudpickle.loads(held.value)
         for batch in batches:
-            found = [held.value.decode(np.asarray(a, np.int64)) for a in batch["active"]]
+            found = [own.decode(np.asarray(a, np.int64)) for a in batch["active"]]
             flips = [f - (1 << 64) if f >= 1 << 63 else f for f, _ in found]
             yield pd.DataFrame({"active": batch["active"], "observable_flips": flips, "confidence": [c for _, c in found]})
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
+from .sampling import place, share, smallest
 from .store import Scratch
 from .url_filter import tokens as url_tokens
 
@@ -237,9 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, ma
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     # ids first: the texts of a bounded number of documents are written for the passes below
     scratch = Scratch(docs.sparkSession, "cotrain")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(good, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = ids.where("good is not null").orderBy(*order).limit(max_labelled).unionByName(ids.where("good is null").orderBy(*order).limit(max_pool))
+    n_good, n_docs = good.count(), docs.count()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    ids = ids.where(place() <= max(share(max_labelled, n_good), share(2 * max_pool, n_docs))).distinct().join(good, "doc_id", "left")
+    picked = smallest(ids.where("good is not null"), max_labelled, n_good).unionByName(smallest(ids.where("good is null"), max_pool, n_docs // 2))
     picked = picked.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0)
     rows = scratch.write(_with_meta(_own(docs).join(F.broadcast(picked), "doc_id"), pages), "rows")
     known = rows.where("good is not null")

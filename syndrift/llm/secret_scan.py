@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import smallest
 from .spans import joined, located, matches, no_spans
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -45,7 +46,7 @@ def random_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
 
 def ordinary_samples(docs: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
     """Labelled identifiers: words of some documents, alone, joined as programs join them, and beside numbers."""
-    some = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n).where("text is not null")
     own = F.filter(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) > 1)
     words = some.select(own.alias("w")).where("size(w) > 2")
     after = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws("_", F.element_at("w", i - 1), F.element_at("w", i)))

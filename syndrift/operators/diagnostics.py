@@ -15,9 +15,9 @@ def outliers(frequency: DataFrame, sigma: float = 3.0, floor: float = 0.0) -> Da
 
 def drift(frames: DataFrame, blocks: int = 20, least: int = 50) -> DataFrame:
     """ancilla and drift: the largest less the smallest mean over blocks of max(least, n div blocks) frames of a stream."""
-    n = frames.groupBy("stream_id").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("stream_id").orderBy("frame_id")
-    rows = frames.join(F.broadcast(n), "stream_id").withColumn("block", F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(least), F.floor(F.col("_n") / blocks))))
+    stream = Window.partitionBy("stream_id")
+    n, k = F.count("*").over(stream), F.row_number().over(stream.orderBy("frame_id")) - 1
+    rows = frames.withColumn("block", F.floor(k / F.greatest(F.lit(least), F.floor(n / blocks))))
     cells = rows.select("stream_id", "block", F.posexplode("events").alias("ancilla", "e"))
     means = cells.groupBy("stream_id", "ancilla", "block").agg(F.avg(F.col("e").cast("double")).alias("rate"))
     return means.groupBy("stream_id", "ancilla").agg((F.max("rate") - F.min("rate")).alias("drift"))
@@ -31,7 +31,7 @@ def correlation(frames: DataFrame, least: float = 0.3) -> DataFrame:
     """i, j, r of all pairs of ancillas with a Pearson correlation of more than ``least`` in size.
 
     One pass: events are 0 or 1, so counts of single and joint fires give r; a frame yields only the pairs among its
-    fired ancillas.
+    fired ancillas.  What is broadcast has one row for each ancilla, whose number the format keeps below 65,536.
     """
     total = frames.agg(F.count("*").cast("double").alias("n"))
     fired = frames.select(F.filter(F.transform("events", lambda e, i: F.when(e, i)), lambda i: i.isNotNull()).alias("a"))
@@ -48,10 +48,10 @@ def correlation(frames: DataFrame, least: float = 0.3) -> DataFrame:
 def autocorrelation(frames: DataFrame, lags: int = 20) -> DataFrame:
     """stream_id, lag, r, limit: of the mean fire rate, over that at lag 0, and the bound 2 / sqrt(n)."""
     rate = F.size(F.filter("events", lambda e: e)) / F.size("events")
-    rows = frames.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_id")).alias("t"), rate.alias("x"))
-    mean = rows.groupBy("stream_id").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    held = rows.join(F.broadcast(mean), "stream_id").withColumn("x", F.col("x") - F.col("m")).drop("m")
-    order = Window.partitionBy("stream_id").orderBy("t")
+    stream = Window.partitionBy("stream_id")
+    rows = frames.select("stream_id", "frame_id", rate.alias("x"))
+    held = rows.withColumns({"n": F.count("*").over(stream), "x": F.col("x") - F.avg("x").over(stream)})
+    order = stream.orderBy("frame_id")
     products = [(F.col("x") * F.lead("x", k).over(order)).alias(f"p{k}") for k in range(lags + 1)]
     sums = held.select("stream_id", "n", *products).groupBy("stream_id", "n").agg(*(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(lags + 1)))
     flat = sums.select("stream_id", "n", "p0", F.posexplode(F.array(*(F.col(f"p{k}") for k in range(lags + 1)))).alias("lag", "p"))

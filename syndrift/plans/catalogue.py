@@ -579,16 +579,16 @@ def _stream(spark, sf, columns: list[str]) -> DataFrame:
 
 @query("streaming_order", SQL["order_check"])
 def streaming_order(spark, sf):
-    return stateful.to_memory(stateful.check_order(_stream(spark, sf, ["stream_id", "frame_id", "arrival"])), f"order_{uuid.uuid4().hex}")
+    return stateful.drain(stateful.check_order(_stream(spark, sf, ["stream_id", "frame_id", "arrival"])))
 
 
 @query("streaming_windows", SQL["sliding_windows"])
 def streaming_windows(spark, sf):
     w = stateful.sliding(_stream(spark, sf, ["stream_id", "frame_id", "events", "ground_truth"]), DEPTH)
-    return _window_columns(stateful.to_memory(w, f"windows_{uuid.uuid4().hex}"), "ground_truth")
+    return _window_columns(stateful.drain(w), "ground_truth")
 
 
 @query("streaming_rates", f"WITH {FRAMES_SQL} SELECT stream_id, count(*) AS shots, CAST(sum(ground_truth) AS BIGINT) AS errors FROM f GROUP BY 1")
 def streaming_rates(spark, sf):
     rows = _stream(spark, sf, ["stream_id", "ground_truth"]).withColumn("observable_flips", F.lit(0).cast("bigint"))
-    return stateful.to_memory(stateful.running_rates(rows), f"rates_{uuid.uuid4().hex}", "complete")
+    return stateful.drain(stateful.running_rates(rows), "complete")

@@ -42,14 +42,14 @@ def model() -> dem.ErrorModel:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sweep points by return flag and line number: distance 3, 5, 7 and the share of late discounts as a rate."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 6")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     d = F.lit(3) + 2 * F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
     wrong = F.pmod(F.col("l_orderkey") * (d + 2) + F.col("l_partkey"), F.lit(1000)) < F.lit(9) * F.pow(F.col("l_linenumber"), (d + 1) / 2)
     out = rows.groupBy(d.alias("distance"), (F.col("l_linenumber") / 100).alias("p_physical")).agg(F.count("*").alias("shots"), F.sum(wrong.cast("bigint")).alias("logical_errors"))
     return out.withColumn("p_l", F.col("logical_errors") / F.col("shots")).withColumn("p_l_err", F.sqrt(F.col("p_l") * (1 - F.col("p_l")) / F.col("shots")))
 
 
-POINTS_SQL = """g AS (SELECT 3 + 2 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS distance, l_linenumber, l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 6),
+POINTS_SQL = """g AS (SELECT 3 + 2 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS distance, l_linenumber, l_orderkey, l_partkey FROM lineitem),
 t AS (SELECT distance, l_linenumber / 100.0::DOUBLE AS p_physical, count(*) AS shots, sum(CAST((l_orderkey * (distance + 2) + l_partkey) % 1000 < 9 * pow(l_linenumber, (distance + 1) / 2.0) AS BIGINT)) AS logical_errors FROM g GROUP BY ALL),
 pts AS (SELECT distance, p_physical, shots, CAST(logical_errors AS BIGINT) AS logical_errors, CAST(logical_errors AS DOUBLE) / shots AS p_l,
   sqrt((CAST(logical_errors AS DOUBLE) / shots) * (1 - CAST(logical_errors AS DOUBLE) / shots) / shots) AS p_l_err FROM t)"""

@@ -6,6 +6,7 @@ with an error and the query goes on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str, terminator: str = "header") -> DataFrame:
     """Frames of a folder as they arrive."""
@@ -103,13 +106,29 @@ def fan_out(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]]):
     return frames.writeStream.foreachBatch(each)
 
 
-def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a bounded stream gives, by way of a memory table; for tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(df: DataFrame, mode: str = "append", timeout: float | None = None) -> DataFrame:
+    """All that a bounded stream gives, by way of files in the shared folder.
+
+    Every batch overwrites a folder of its own, so one that runs twice counts once.  In complete mode the last batch is
+    the result.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/syndrift/stream-{uuid.uuid4().hex}"
+    seen: list[int] = []
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+        seen.append(n)
+
+    query = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     try:
-        query.awaitTermination(120)
+        if not query.awaitTermination(timeout) and timeout:
+            raise TimeoutError(f"the stream ran for more than {timeout} s")
         if query.exception():
             raise query.exception()
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(df.schema)
+    return rows.parquet(f"{at}/rows/batch={max(seen)}") if mode == "complete" else rows.parquet(*(f"{at}/rows/batch={n}" for n in seen))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,21 @@ def below_threshold(report: DataFrame, limit: float) -> DataFrame:
     return report.where(F.col("mean_p_l") < limit)
 
 
+#: Up to so many ancillas are summed as columns, in one pass of compiled code; more are exploded into rows.
+WIDE = 256
+
+
+def _bit(j: int) -> Column:
+    return F.coalesce(F.get("events", F.lit(j)), F.lit(False)).cast("bigint")
+
+
 def fire_frequency(frames: DataFrame, width: int | None = None, by: list[str] | None = None) -> DataFrame:
     """ancilla, fires, frames, frequency: over all frames; ancillas past ``width`` (or the first frame's) do not count."""
     keys = by or []
+    if width and width <= WIDE:
+        sums = [F.sum(_bit(j)).alias(f"s{j}") for j in range(width)]
+        one = frames.groupBy(*keys).agg(F.count("*").alias("frames"), *sums).select(*keys, "frames", F.posexplode(F.array(*(F.coalesce(f"s{j}", F.lit(0).cast("bigint")) for j in range(width)))).alias("ancilla", "fires"))
+        return one.select(*keys, "ancilla", "fires", "frames", share(F.col("fires"), F.col("frames")).alias("frequency"))
     totals = frames.groupBy(*keys).agg(F.count("*").alias("frames"), F.min_by(F.size("events"), "frame_id").alias("width"))
     cells = frames.select(*keys, F.posexplode("events").alias("ancilla", "e")).groupBy(*keys, "ancilla").agg(F.sum(F.col("e").cast("bigint")).alias("fires"))
     all_ = totals.select(*keys, "frames", F.explode(F.sequence(F.lit(0), (F.lit(width) if width else F.col("width")) - 1)).alias("ancilla")).where("ancilla >= 0")
@@ -47,7 +61,10 @@ def fire_frequency(frames: DataFrame, width: int | None = None, by: list[str] |
 
 def weight_histogram(frames: DataFrame, width: int) -> DataFrame:
     """weight 0..width and frames: dense; heavier frames are dropped."""
-    counts = frames.select(weight(F.col("events")).alias("weight")).groupBy("weight").agg(F.count("*").alias("n"))
+    w = weight(F.col("events"))
+    if 0 < width <= WIDE:
+        w = F.when(F.size("events") <= width, reduce(Column.__add__, (_bit(j) for j in range(width))).cast("int")).otherwise(w)
+    counts = frames.select(w.alias("weight")).groupBy("weight").agg(F.count("*").alias("n"))
     dense = frames.sparkSession.range(width + 1).select(F.col("id").cast("int").alias("weight"))
     return dense.join(counts, "weight", "left").select("weight", F.coalesce("n", F.lit(0)).alias("frames"))
 

@@ -31,10 +31,12 @@ def active_ids(rounds: Column) -> Column:
 
 
 def _windowed(rows: DataFrame, depth: int, keys: list[str], full: bool) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("frame_id").rowsBetween(1 - depth, 0)
-    truth = ["ground_truth"] if "ground_truth" in rows.columns else []
-    out = rows.select(*keys, "frame_id", *truth, F.collect_list("events").over(order).alias("rounds"), *([F.col("_halo")] if "_halo" in rows.columns else []))
-    return out.where(F.size("rounds") == depth) if full else out
+    order = Window.partitionBy(*keys).orderBy("frame_id")
+    more = [c for c in ("ground_truth", "_halo") if c in rows.columns]
+    rounds = F.collect_list("events").over(order.rowsBetween(1 - depth, 0)).alias("rounds")
+    out = rows.select(*keys, "frame_id", *more, rounds, F.row_number().over(order).alias("_n"))
+    # full windows by number, not by size, so that a query that needs no rounds does not gather them
+    return (out.where(F.col("_n") >= depth) if full else out).drop("_n")
 
 
 def sliding(frames: DataFrame, depth: int, ranges: int = 1) -> DataFrame:

@@ -10,9 +10,9 @@ the last one of a source stops at its target.
 Targets share all words by weight; no target exceeds ``epochs`` times its source, and what a source cannot take
 goes to the others by weight until none is above.
 
-Ranks and running totals inside a source are taken in two steps, over many small ranges of the shuffled order and
-then over the ranges' totals, so a source with a third of all documents is spread over as many tasks as any other
-rows.  Weights, targets and cut points are one small row for each source, gathered up to ``MAX_SOURCES``.
+Ranks and running totals inside a source are taken in two steps, over ranges of the shuffled order and then over
+the ranges' totals.  There are as many ranges as a range has rows, the root of the source's documents, so neither
+step puts more than that in one task, and a source with a third of all documents spreads over all tasks.  Weights, targets and cut points are one small row for each source, gathered up to ``MAX_SOURCES``.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last
 in order; equal doc_ids are told apart by nothing, so repeated rows each take what the tie gives them; an empty
@@ -21,6 +21,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,8 +33,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
 SEED = 20
 MAX_SOURCES = 100_000
-#: Documents of one range of the shuffled order, and slots of one range of the schedule, on average.
-RANGE_ROWS = 4096
 #: Words of a block: about a ``SLOTS``-th of the mix, so the schedule stays small against the documents; and no
 #: more than a full context of a common model.
 SLOTS, MAX_BLOCK = 50_000, 4096
@@ -131,7 +130,7 @@ def schedule(spark: SparkSession, sources: list[dict], point: Callable = golden)
     shares = F.broadcast(table.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("u")).withColumn("cell", cell(F.col("u")))
     drawn = drawn.join(shares, "cell").where("low <= u and u < high").select("slot", "sid", "need")
-    drawn = drawn.withColumns({"place": F.floor(F.col("slot") / RANGE_ROWS), "one": F.lit(1)})
+    drawn = drawn.withColumns({"place": F.floor(F.col("slot") / (math.isqrt(slots) + 1)), "one": F.lit(1)})
     ranked = before(drawn, ["sid"], "place", ["slot"], "one", "rank")
     have = ranked.groupBy("sid").agg(F.count("*").alias("n"))
     lacking = table.join(F.broadcast(have), "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), "need").where("n < need")
@@ -150,7 +149,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, epochs: int
     sources = plan(sized, weights, epochs)
     words = sum(s["source_size"] for s in sources)
     block = block or max(1, min(MAX_BLOCK, words // SLOTS))
-    sources = [cut_points(s, block) | {"ranges": max(1, s["docs"] // RANGE_ROWS)} for s in sources]
+    sources = [cut_points(s, block) | {"ranges": math.isqrt(s["docs"]) + 1} for s in sources]
     kinds = {"sid": "int", "source": "string", "source_size": "long", "target": "double", "blocks": "long", "ranges": "long", "full": "long", "rest": "long"}
     facts = spark.createDataFrame([tuple(s[k] for k in kinds) for s in sources], ", ".join(f"{k} {v}" for k, v in kinds.items()))
 

@@ -111,6 +111,11 @@ def sketches(docs: DataFrame, n: int = SHINGLE, rows: int = ROWS, bands: int = B
     return _narrow(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
+def _apart(keyed: DataFrame) -> DataFrame:
+    """The same rows, no longer known to be dealt by ``a``: a join then deals both sides, and splits a node with many edges."""
+    return keyed.withColumn("a", F.bitwise_not(F.bitwise_not("a")))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node that it reaches.
 
@@ -123,10 +128,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     before, k = print_of(now), 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = _apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(_apart(least), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         k += 1
         after = scratch.write(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")

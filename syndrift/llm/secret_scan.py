@@ -122,18 +122,20 @@ def scan(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
 def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float = MIN_LOG_ODDS) -> DataFrame:
     """``docs`` with ``[REDACTED:kind]`` in place of every span; of spans that meet, the first one names the whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
     names = F.array(*(F.lit(k) for k in KINDS))
     begin = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] + 1 >= a["at"]
-        before = F.when(fresh, F.substring(text, a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int"))).otherwise(F.lit(""))
+        before = F.when(fresh, F.substring("_text", a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int"))).otherwise(F.lit(""))
         mark = F.when(fresh, F.concat(F.lit("[REDACTED:"), F.element_at(names, s["no"] + 1), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), F.concat(a["out"], before, mark).alias("out"))
 
-    clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int"), F.length(text))))
-    found = _spans(docs.withColumn("_text", text), F.col("_text"), model, min_log_odds)
-    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring("_text", a["at"].cast("int"), F.length("_text"))))
+    found = _spans(own, F.col("_text"), model, min_log_odds)
+    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("_row.text"))
+    return found.select(*(new.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def trained(docs: DataFrame) -> list[float]:

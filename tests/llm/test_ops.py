@@ -263,6 +263,8 @@ def test_mask(spark, docs, rows):
     got = {r.doc_id: r for r in secret_scan.mask(docs).collect()}
     assert got[19].text == "secret:token:abcdefgh [REDACTED:assign]' api-key" and got[0].text is None and got[4].text == "one two three four"
     assert got[28].text == "😀" * 20 + " [REDACTED:assign]" and secret_scan.mask(docs).columns == docs.columns
+    clash = docs.withColumnsRenamed({"spans": "_text", "lang": "_base", "source": "_row"})
+    assert sorted(map(repr, secret_scan.mask(clash).select("_text", "_base", "_row", "doc_id").collect())) == sorted(map(repr, clash.select("_text", "_base", "_row", "doc_id").collect()))
 
 
 # ---- 7 mixing

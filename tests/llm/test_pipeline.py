@@ -80,3 +80,19 @@ def test_stages(spark):
     want = mixing.targets([sum(x.size for x in sizes[s]) for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))])
     assert [sum(x.taken for x in sizes[s]) for s in order] == [round(t) for t in want]
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(tuple(r) for r in last.values())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_on_awkward_rows(spark, k):
+    stage = corpus_pipeline.STAGES[k][1]
+    docs = brute.documents(spark).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id"))).withColumnsRenamed({"spans": "kept", "item_id": "component_id"})
+    left = stage(spark, docs, SF)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if k < 4:
+        assert left.columns == corpus_pipeline.COLUMNS
+        assert left.where("doc_id is null").count() == 1
+        n = {0: None, 1: 1, 2: None, 3: docs.count()}[k]
+        ids = [r.doc_id for r in left.collect()]
+        assert n is None or (len(ids) == n if k == 3 else ids.count(4) == 1 and ids.count(5) == 0)
+    else:
+        assert left.count() == docs.count()

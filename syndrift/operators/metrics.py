@@ -39,12 +39,21 @@ def below_threshold(report: DataFrame, limit: float) -> DataFrame:
 
 #: Up to so many ancillas are summed as columns, in one pass of compiled code; more are exploded into rows.
 WIDE = 256
+#: Up to so many, frequencies and weights are taken in one pass.
+ONE_PASS = 64
 
 
 def _bit(j: int) -> Column:
     return F.coalesce(F.get("events", F.lit(j)), F.lit(False)).cast("bigint")
 
 
+def _weight(width: int) -> Column:
+    w = weight(F.col("events"))
+    if not 0 < width <= WIDE:
+        return w
+    return F.when(F.size("events") <= width, reduce(Column.__add__, (_bit(j) for j in range(width))).cast("int")).otherwise(w)
+
+
 def fire_frequency(frames: DataFrame, width: int | None = None, by: list[str] | None = None) -> DataFrame:
     """ancilla, fires, frames, frequency: over all frames; ancillas past ``width`` (or the first frame's) do not count."""
     keys = by or []
@@ -61,10 +70,7 @@ def fire_frequency(frames: DataFrame, width: int | None = None, by: list[str] |
 
 def weight_histogram(frames: DataFrame, width: int) -> DataFrame:
     """weight 0..width and frames: dense; heavier frames are dropped."""
-    w = weight(F.col("events"))
-    if 0 < width <= WIDE:
-        w = F.when(F.size("events") <= width, reduce(Column.__add__, (_bit(j) for j in range(width))).cast("int")).otherwise(w)
-    counts = frames.select(w.alias("weight")).groupBy("weight").agg(F.count("*").alias("n"))
+    counts = frames.select(_weight(width).alias("weight")).groupBy("weight").agg(F.count("*").alias("n"))
     dense = frames.sparkSession.range(width + 1).select(F.col("id").cast("int").alias("weight"))
     return dense.join(counts, "weight", "left").select("weight", F.coalesce("n", F.lit(0)).alias("frames"))
 
@@ -107,21 +113,34 @@ def weight_stats(frames: DataFrame) -> DataFrame:
     return frames.agg(F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.max(w).alias("max"), (F.sum(w) / F.sum(F.size("events"))).alias("rate"))
 
 
+def _cell_counts(frames: DataFrame, width: int) -> DataFrame:
+    """One row: frames, fire_frequency and weight_histogram."""
+    if not 0 < width <= ONE_PASS:
+        freq = fire_frequency(frames, width).agg(F.transform(F.array_sort(F.collect_list(F.struct("ancilla", "frequency"))), lambda x: x["frequency"]).alias("fire_frequency"))
+        hist = weight_histogram(frames, width).agg(F.transform(F.array_sort(F.collect_list(F.struct("weight", "frames"))), lambda x: x["frames"]).alias("weight_histogram"))
+        return frames.agg(F.count("*").alias("frames")).join(F.broadcast(freq)).join(F.broadcast(hist))
+    cells = frames.select(*(_bit(j).alias(f"b{j}") for j in range(width)), _weight(width).alias("w"))
+    sums = [F.sum(f"b{j}").alias(f"s{j}") for j in range(width)]
+    one = cells.agg(F.count("*").alias("frames"), *sums, *(F.count_if(F.col("w") == k).alias(f"h{k}") for k in range(width + 1)))
+    freq = F.array(*(share(F.coalesce(f"s{j}", F.lit(0)), F.col("frames")) for j in range(width)))
+    return one.select("frames", freq.alias("fire_frequency"), F.array(*(f"h{k}" for k in range(width + 1))).alias("weight_histogram"))
+
+
 def analysis(frames: DataFrame, windows: DataFrame, width: int, observables: int = 1) -> DataFrame:
     """One row: frames, shots, frequencies, weight histogram, logical error rates and whether any truth was known.
 
-    ``windows`` are decoded, with ground_truth.  Its parts are three small aggregates; no rows meet rows.
+    ``windows`` are decoded, with ground_truth.  Frames and windows are each read once, into one row.
     """
-    rates = logical_errors(windows, observables)
-    freq = fire_frequency(frames, width).agg(F.transform(F.array_sort(F.collect_list(F.struct("ancilla", "frequency"))), lambda x: x["frequency"]).alias("fire_frequency"))
-    hist = weight_histogram(frames, width).agg(F.transform(F.array_sort(F.collect_list(F.struct("weight", "frames"))), lambda x: x["frames"]).alias("weight_histogram"))
-    own = rates.agg(F.transform(F.array_sort(F.collect_list(F.struct("observable", "rate"))), lambda x: x["rate"]).alias("p_l"), F.coalesce(F.avg("rate"), F.lit(0.0)).alias("mean_p_l"), F.coalesce(F.max("shots"), F.lit(0)).alias("shots"), F.coalesce(F.sum("errors"), F.lit(0)).alias("logical_errors"))
-    known = windows.agg(F.coalesce(F.bool_or(F.col("ground_truth").isNotNull()), F.lit(False)).alias("has_truth"))
-    total = frames.agg(F.count("*").alias("frames"))
-    out = total
-    for part in (own, freq, hist, known):
-        out = out.join(F.broadcast(part))
-    return out
+    n = min(observables, 64)
+    wrong = F.col("observable_flips").bitwiseXOR(F.coalesce("ground_truth", F.lit(0).cast("bigint")))
+    sums = [F.coalesce(F.sum(F.getbit(wrong, F.lit(i)).cast("bigint")), F.lit(0).cast("bigint")).alias(f"e{i}") for i in range(n)]
+    own = windows.agg(F.count("*").alias("shots"), F.coalesce(F.bool_or(F.col("ground_truth").isNotNull()), F.lit(False)).alias("has_truth"), *sums)
+    errors = F.array(*(F.col(f"e{i}") for i in range(n)))
+    rates = F.transform(errors, lambda e: share(e, F.col("shots")))
+    mean = F.aggregate(rates, F.lit(0.0), lambda a, x: a + x) / max(n, 1)
+    own = own.select(rates.alias("p_l"), mean.alias("mean_p_l"), "shots", F.aggregate(errors, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("logical_errors"), "has_truth")
+    out = _cell_counts(frames, width).join(F.broadcast(own))
+    return out.select("frames", "p_l", "mean_p_l", "shots", "logical_errors", "fire_frequency", "weight_histogram", "has_truth")
 
 
 def summary(report: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def power_histogram(values: DataFrame, column: str, buckets: int) -> DataFrame:
 
 def nearest_rank(values: DataFrame, column: str, percent: int) -> DataFrame:
     """The ceil(n p / 100)-th smallest value; 0 of none."""
-    return values.agg(F.coalesce(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column})"), F.lit(0)).alias("value"))
+    kind = values.schema[column].dataType
+    return values.agg(F.coalesce(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column})"), F.lit(0)).cast(kind).alias("value"))
 
 
 def floor_rank(values: DataFrame, column: str, percent: int) -> DataFrame:
@@ -103,7 +104,8 @@ def floor_rank(values: DataFrame, column: str, percent: int) -> DataFrame:
 
 def latency(rows: DataFrame, column: str = "latency_ns") -> DataFrame:
     """Whole mean, maximum, and nearest-rank median and 99th percentile."""
-    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), F.lit(0))
+    kind = rows.schema[column].dataType
+    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), F.lit(0)).cast(kind)
     mean = F.coalesce(F.expr(f"sum({column}) div nullif(count({column}), 0)"), F.lit(0))
     return rows.agg(mean.alias("mean"), F.coalesce(F.max(column), F.lit(0)).alias("max"), rank(0.5).alias("p50"), rank(0.99).alias("p99"))
 

@@ -23,7 +23,7 @@ ERRORS = [
 def late_ancilla(timing: Column, limit: int = MAX_OFFSET_NS) -> Column:
     """The first ancilla whose offset is over the limit; null if none."""
     at = F.array_position(F.transform(timing, lambda x: x > limit), True)
-    return F.when(at > 0, at - 1)
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def with_schema(frames: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def violated(events: Column, meas: Column, stabilizers: Column) -> Column:
         return odd != F.coalesce(F.get(events, i), F.lit(False)).cast("int")
 
     at = F.array_position(F.transform(stabilizers, wrong), True)
-    return F.when(at > 0, at - 1)
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def validate(frames: DataFrame, schemas: DataFrame | None = None, policy: str = "strict") -> DataFrame:

@@ -50,3 +50,22 @@ def test_fan_out(spark, tmp_path):
     q = stateful.fan_out(stream, [lambda d, n: a.append(d.count()), lambda d, n: b.append(d.agg(F.sum("id")).first()[0])]).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert (a, b) == ([5], [10])
+
+
+def test_progress(spark, tmp_path):
+    import time
+
+    from syndrift.streaming.progress import Progress
+
+    spark.range(40).write.parquet(str(tmp_path / "in"))
+    seen = Progress()
+    spark.streams.addListener(seen)
+    try:
+        stateful.drain(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")))
+        for _ in range(100):
+            if seen.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.summary()["rows"] == 40 and list(seen.ended.values()) == [None]

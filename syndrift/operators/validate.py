@@ -15,8 +15,8 @@ BROADCAST_SCHEMAS = 100_000
 
 #: The kinds of errors.
 ERRORS = [
-    "InvalidMagic", "UnsupportedVersion", "ChecksumMismatch", "PayloadLengthMismatch", "UnknownCodeType", "SchemaNotFound",
-    "SchemaMismatch", "ParityViolation", "TimingViolation", "FrameOutOfOrder", "BufferOverflow", "Io", "Json",
+    "InvalidMagic", "UnsupportedVersion", "UnknownCodeType", "SchemaNotFound", "ChecksumMismatch", "ParityViolation", "TimingOutOfBounds",
+    "PayloadLengthMismatch", "FrameOutOfOrder", "SchemaFrameMismatch", "BroadcastLagged", "Io", "SchemaJson",
 ]
 
 
@@ -55,12 +55,12 @@ def validate(frames: DataFrame, schemas: DataFrame | None = None, policy: str =
         return frames.withColumn("error", F.lit(None).cast("struct<kind:string,detail:string>"))
     say = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
     late = late_ancilla(F.col("timing_ns")) if "timing_ns" in frames.columns else F.lit(None).cast("int")
-    checks = [F.when(late.isNotNull(), say("TimingViolation", late))]
+    checks = [F.when(late.isNotNull(), say("TimingOutOfBounds", late))]
     if schemas is not None:
         frames = with_schema(frames, schemas)
         other = mismatch(F.col("ancilla_count"), F.col("qubit_count"), F.col("code_type"), F.col("schema"))
         parity = violated(F.col("events"), F.col("meas"), F.col("schema.stabilizers"))
-        checks += [F.when(other.isNotNull(), say("SchemaMismatch", other)), F.when(parity.isNotNull(), say("ParityViolation", parity))]
+        checks += [F.when(other.isNotNull(), say("SchemaFrameMismatch", other)), F.when(parity.isNotNull(), say("ParityViolation", parity))]
     return frames.withColumn("error", F.coalesce(*checks)).drop("schema")
 
 

@@ -142,7 +142,7 @@ def parity_check(spark, sf):
 @query(
     "strict_policy",
     f"""WITH {FRAMES_SQL}, s AS (SELECT * FROM (VALUES {_STABS}) t(k, qubits)), p AS (SELECT frame_id, k, list_sum([CASE WHEN coalesce(events[q + 1], FALSE) THEN 1 ELSE 0 END for q in qubits]) % 2 AS odd, CAST(events[k + 1] AS INTEGER) AS e FROM f, s),
-b AS (SELECT frame_id, CASE WHEN frame_id % 50 = 0 THEN 'TimingViolation' WHEN bool_or(odd <> e) THEN 'ParityViolation' END AS kind FROM p GROUP BY 1) SELECT coalesce(kind, 'ok') AS kind, count(*) AS frames FROM b GROUP BY 1""",
+b AS (SELECT frame_id, CASE WHEN frame_id % 50 = 0 THEN 'TimingOutOfBounds' WHEN bool_or(odd <> e) THEN 'ParityViolation' END AS kind FROM p GROUP BY 1) SELECT coalesce(kind, 'ok') AS kind, count(*) AS frames FROM b GROUP BY 1""",
 )
 def strict_policy(spark, sf):
     rows = frames(spark, sf).select("*", bits.outcomes(F.col("events")).alias("meas"), F.lit(hardware.SMALL[1][0]).alias("schema_id"), F.lit(25).alias("qubit_count"), F.lit(1).alias("code_type"))

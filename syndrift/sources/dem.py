@@ -40,21 +40,20 @@ class ErrorModel:
 
 
 def _error(line: str) -> tuple[float, list[int], list[int]]:
-    m = re.match(r"error\(([^)]*)\)(.*)$", line)
-    if not m:
-        raise ModelError("MissingParenthesis", line)
+    head, closed, targets = line.removeprefix("error(").partition(")")
     try:
-        p = float(m[1])
+        p = float(head)
     except ValueError:
-        raise ModelError("BadProbability", line) from None
-    ds, os = [], []
-    for token in m[2].split():
-        if token == "^":
-            continue
-        if not re.fullmatch(r"[DL]\d+", token) or token[0] == "L" and int(token[1:]) > 255:
-            raise ModelError("BadTarget", line)
-        (ds if token[0] == "D" else os).append(int(token[1:]))
-    return p, ds, os
+        closed = ""
+    if not closed:
+        raise ModelError("InvalidProbability", line)
+    found: dict[str, list[int]] = {"D": [], "L": []}
+    for token in targets.split():
+        if token != "^":
+            if not re.fullmatch(r"[DL]\d+", token) or int(token[1:]) >= 1 << (8 if token[0] == "L" else 32):
+                raise ModelError("MalformedTarget", token)
+            found[token[0]].append(int(token[1:]))
+    return p, found["D"], found["L"]
 
 
 def _number(text: str) -> float:
@@ -64,53 +63,52 @@ def _number(text: str) -> float:
         return 0.0
 
 
+def _detector(line: str) -> tuple[int, tuple[float, float, float] | None]:
+    """Id (the first D token) and coordinates; missing or bad ones are 0."""
+    at, rest = None, line.removeprefix("detector")
+    if "(" in line:
+        inside, closed, rest = line.partition("(")[2].partition(")")
+        if not closed:
+            raise ModelError("MalformedCoords", line)
+        at = tuple(([_number(x) for x in inside.split(",")] + [0.0] * 3)[:3])
+    ids = re.findall(r"(?<!\S)D(\d+)(?!\S)", rest)
+    if not ids:
+        raise ModelError("MalformedTarget", line)
+    return int(ids[0]), at
+
+
 def parse(text: str) -> ErrorModel:
     """Line by line; blank lines, comments and unknown instructions are skipped.
 
-    A repeat block clones its errors without shifting detectors and ends at the first line with a closing brace.
+    A repeat block ends at the first line that is a closing brace, so a block inside a block is unterminated.  Its
+    errors are cloned without shifting detectors, its detectors are taken once; a block may also stand on one line.
     """
     model, lines = ErrorModel(), iter(text.splitlines())
-
-    def take(line: str) -> None:
-        if line.startswith("error"):
+    for line in (x.strip() for x in lines):
+        if line.startswith("error("):
             model.errors.append(_error(line))
         elif line.startswith("detector"):
-            coords, rest = re.match(r"detector(?:\(([^)]*)\))?(.*)$", line).groups()
-            at = None
-            if coords is not None:
-                xyz = [_number(x) for x in coords.split(",")]
-                at = tuple((xyz + [0.0] * 3)[:3])
-            for token in rest.split():
-                if not re.fullmatch(r"D\d+", token):
-                    raise ModelError("BadDetector", line)
-                model.detectors.setdefault(int(token[1:]), at)
+            model.detectors.setdefault(*_detector(line))
         elif line.startswith("logical_observable"):
-            token = line.split()[-1]
-            if re.fullmatch(r"L\d+", token):
-                model.declared.append(int(token[1:]))
-
-    for line in (x.strip() for x in lines):
-        if not line or line.startswith("#"):
-            continue
-        if line.startswith("repeat"):
-            m = re.match(r"repeat\s+(\d+)\s*\{?(.*)$", line)
-            if not m:
-                raise ModelError("BadRepeat", line)
-            body = [m[2].strip().removesuffix("}").strip()] if m[2].strip() else []
-            if not line.endswith("}"):
+            model.declared += [int(x) for x in re.findall(r"(?<!\S)L(\d+)(?!\S)", line)[:1]]
+        elif line.startswith("repeat "):
+            count, _, rest = line.removeprefix("repeat").strip().partition(" ")
+            if not count.isdecimal():
+                raise ModelError("InvalidRepeatCount", count)
+            if line.endswith("}"):
+                body = [rest.strip("{} ")]
+            else:
+                body = []
                 for inner in (x.strip() for x in lines):
                     if inner == "}":
                         break
                     body.append(inner)
-            for _ in range(int(m[1])):
-                for inner in body:
-                    if inner.startswith("error"):
-                        take(inner)
-            for inner in body:
-                if inner.startswith("detector"):
-                    take(inner)
-        else:
-            take(line)
+                else:
+                    raise ModelError("UnterminatedRepeat", line)
+            inside = parse("\n".join(body))
+            model.errors += inside.errors * int(count)
+            for k, at in inside.detectors.items():
+                model.detectors.setdefault(k, at)
     return model
 
 

@@ -19,7 +19,14 @@ def test_parse():
     assert dem.parse(dem.render(m)).errors == m.errors
 
 
-@pytest.mark.parametrize(("line", "kind"), [("error 0.1 D0", "MissingParenthesis"), ("error(x) D0", "BadProbability"), ("error(0.1) Q0", "BadTarget"), ("error(0.1) L256", "BadTarget"), ("detector(0) Q", "BadDetector"), ("repeat x {", "BadRepeat")])
+@pytest.mark.parametrize(
+    ("line", "kind"),
+    [
+        ("error(0.1 D0", "InvalidProbability"), ("error(x) D0", "InvalidProbability"), ("error(0.1) Q0", "MalformedTarget"), ("error(0.1) L256", "MalformedTarget"),
+        ("detector(0) Q", "MalformedTarget"), ("detector(0 D1", "MalformedCoords"), ("repeat x {", "InvalidRepeatCount"), ("repeat 2 {\nerror(0.1) D0", "UnterminatedRepeat"),
+        ("repeat 2 {\nrepeat 2 {\nerror(0.1) D0\n}\n}", "UnterminatedRepeat"),
+    ],
+)
 def test_parse_errors(line, kind):
     with pytest.raises(dem.ModelError, match=kind):
         dem.parse(line)

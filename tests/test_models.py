@@ -79,15 +79,19 @@ def _by_hand(n, ends, masks, active):
     return out if active else 0
 
 
-def test_union_find_on_random_graphs():
+def test_union_find_on_random_graphs(monkeypatch):
+    monkeypatch.setattr(decode, "FEW", 0)
     rng = np.random.default_rng(1)
-    for _ in range(200):
+    for _ in range(120):
         n, e = int(rng.integers(2, 9)), int(rng.integers(1, 14))
         ends = [tuple(int(x) for x in rng.choice(n + 1, 2, replace=False)) for _ in range(e)]
         masks = [int(x) for x in rng.integers(0, 4, e)]
         g = Graph(n, np.array([a for a, _ in ends]), np.array([b for _, b in ends]), np.ones(e), np.array(masks, np.uint64))
         active = np.flatnonzero(rng.random(n) < 0.4)
         assert decode.UnionFind(g).decode(active)[0] == _by_hand(n + 1, ends, masks, active.tolist())
+        many = [np.flatnonzero(rng.random(n) < rng.random()) for _ in range(20)]
+        flips, confidence = decode.UnionFind(g).decode_batch(many)
+        assert list(zip(flips.tolist(), confidence.tolist(), strict=True)) == [decode.UnionFind(g).decode(a) for a in many]
 
 
 def test_order_of_edges_matters():

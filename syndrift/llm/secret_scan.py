@@ -32,12 +32,14 @@ ALPHABET = "^ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_LOG_ODDS = 12.0
 #: Documents (those with the smallest hashed ids) whose words are samples of ordinary identifiers, and random strings.
-TRAIN_DOCS, TRAIN_RANDOM = 2000, 20_000
+TRAIN_DOCS, TRAIN_RANDOM = 500, 20_000
+#: Tasks over which the samples are spread.
+TRAIN_TASKS = 32
 
 
 def random_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
     """Labelled random strings: digests in hex, base 64, base 64 for URLs, and upper-case letters with digits."""
-    ids = spark.range(n, numPartitions=4)
+    ids = spark.range(0, n, 1, TRAIN_TASKS)
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     kinds = [F.substring(digest, 1, 40), b64, F.translate(b64, "+/", "-_"), F.regexp_replace(F.upper(b64), "[^A-Z0-9]", "")]
@@ -46,7 +48,7 @@ def random_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
 
 def ordinary_samples(docs: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
     """Labelled identifiers: words of some documents, alone, joined as programs join them, and beside numbers."""
-    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n).where("text is not null")
+    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n).repartition(TRAIN_TASKS, "doc_id").where("text is not null")
     own = F.filter(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) > 1)
     words = some.select(own.alias("w")).where("size(w) > 2")
     after = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws("_", F.element_at("w", i - 1), F.element_at("w", i)))
@@ -56,22 +58,23 @@ def ordinary_samples(docs: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
 
 def _codes(token: Column) -> Column:
     """Places in ALPHABET of a token's characters, with an edge before and after; what is not in it counts as edge."""
-    places = F.create_map(*(x for i, c in enumerate(ALPHABET[1:], 1) for x in (F.lit(c), F.lit(i))))
-    inner = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(places, c), F.lit(0)))
+    inner = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(ALPHABET[1:]), c))
     return F.concat(F.array(F.lit(0)), inner, F.array(F.lit(0)))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-ratio of the two models for every pair of characters, row by row, from samples (label, token).
 
-    Counts are added up by Spark, at most a row for each label and pair; one is added to every count.
+    Counts are added up by Spark, at most a row for each label and pair of characters; one is added to every count.
     """
     n = len(ALPHABET)
-    pairs = samples.select("label", _codes(F.col("token")).alias("c"))
-    pairs = pairs.select("label", F.explode(F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: F.element_at("c", i - 1) * n + F.element_at("c", i))).alias("pair"))
+    edged = F.concat(F.lit(ALPHABET[0]), "token", F.lit(ALPHABET[0]))
+    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") + 1), lambda i: F.substring(edged, i, F.lit(2)))).alias("pair"))
     counts = {k: [1.0] * (n * n) for k in ("random", "ordinary")}
+    place = {c: i for i, c in enumerate(ALPHABET)}
     for row in pairs.where(F.col("label").isin(*counts)).groupBy("label", "pair").agg(F.count("*").alias("k")).collect():
-        counts[row.label][row.pair] += row.k
+        a, b = (place.get(c, 0) for c in row.pair)
+        counts[row.label][a * n + b] += row.k
 
     def logs(c: list[float]) -> list[float]:
         return [math.log(x / sum(c[i - i % n : i - i % n + n])) for i, x in enumerate(c)]

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .mixing import before
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Lengths of one range.
-RANGE = 1024
+#: Lengths of one range: neither a range nor the list of ranges of texts of a million tokens is long.
+RANGE = 64
 
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:

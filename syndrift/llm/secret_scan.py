@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and character Markov models for secrets that have no pattern.
 
 Two first-order Markov models over the characters of a token, one of random strings and one of ordinary
-identifiers, are counted from labelled samples (label, token).  A token is a secret if the log of its likelihood
+identifiers, are counted: the first from drawn samples, the second from the words of all documents.  A token is a secret if the log of its likelihood
 under the first over that under the second exceeds ``MIN_LOG_ODDS`` (e**12 to 1, the prior against a secret).  The
 table of transitions is as large as the alphabet squared, whatever the samples.
 
@@ -19,7 +19,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import smallest
 from .spans import joined, located, matches, no_spans
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -31,9 +30,9 @@ HEX = r"[0-9a-f]{24,}"
 ALPHABET = "^ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_LOG_ODDS = 12.0
-#: Documents (those with the smallest hashed ids) whose words are samples of ordinary identifiers, and random strings.
-TRAIN_DOCS, TRAIN_RANDOM = 500, 20_000
-#: Tasks over which the samples are spread.
+#: Random strings drawn of each kind.
+TRAIN_RANDOM = 20_000
+#: Tasks over which they are spread.
 TRAIN_TASKS = 32
 
 
@@ -46,14 +45,38 @@ def random_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
     return ids.select(F.lit("random").alias("label"), F.explode(F.array(*kinds)).alias("token"))
 
 
-def ordinary_samples(docs: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
-    """Labelled identifiers: words of some documents, alone, joined as programs join them, and beside numbers."""
-    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n).repartition(TRAIN_TASKS, "doc_id").where("text is not null")
-    own = F.filter(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) > 1)
-    words = some.select(own.alias("w")).where("size(w) > 2")
-    after = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws("_", F.element_at("w", i - 1), F.element_at("w", i)))
-    camel = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat(F.element_at("w", i - 1), F.initcap(F.element_at("w", i)), F.pmod(F.xxhash64(F.element_at("w", i)), F.lit(1000)).cast("string")))
-    return words.select(F.lit("ordinary").alias("label"), F.explode(F.concat("w", after, camel)).alias("token"))
+def ordinary_pairs(docs: DataFrame) -> DataFrame:
+    """(label, pair, k): pairs of characters, with the edges, in identifiers made of the words of all documents: words
+    alone, joined as programs join them, and beside numbers.
+
+    An identifier is made of a word and the one after it, and its pairs lie in one of the two or between them, so each
+    task adds up its words by the initial of the next (empty for the last) and the identifiers are never written out.
+    """
+    edge = ALPHABET[0]
+    own = F.filter(F.regexp_extract_all(F.col("text").cast("string"), F.lit("(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) > 1)
+    words = docs.select(own.alias("w")).where("size(w) > 2")
+    entry = lambda w, c: F.struct(w.alias("word"), c.alias("next"))
+    after = F.transform("w", lambda w, i: entry(w, F.upper(F.substring(F.coalesce(F.get("w", i + 1), F.lit("")), 1, 1))))
+    # a document's first word stands once more, as the only one that is not after another
+    entries = words.select(F.explode(F.concat(F.array(entry(F.element_at("w", 1), F.lit(edge))), after)).alias("e"))
+    counts = entries.groupBy("e.word", "e.next").agg(F.count("*").alias("k"))
+    w, number = F.col("word"), F.pmod(F.xxhash64("word"), F.lit(1000)).cast("string")
+    part = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    whole = [part(edge, w, edge)]
+    left = [part(edge, w, "_"), part(edge, w, F.col("next"))]
+    right = [part("_", w, edge), part(F.initcap(w), number, edge)]
+    first = F.col("next") == edge
+    made = F.when(first, F.array(*right)).when(F.col("next") == "", F.array(*whole, *right)).otherwise(F.array(*whole, *left, *right))
+    parts = counts.select(F.explode(made).alias("part"), F.when(first, -F.col("k")).otherwise(F.col("k")).alias("k"))
+    pairs = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("part") - 1), lambda i: F.substring("part", i, F.lit(2)))).alias("pair"), "k")
+    return pairs.groupBy("pair").agg(F.sum("k").alias("k")).select(F.lit("ordinary").alias("label"), "pair", "k")
+
+
+def sample_pairs(samples: DataFrame) -> DataFrame:
+    """(label, pair, k) of samples (label, token)."""
+    edged = F.concat(F.lit(ALPHABET[0]), "token", F.lit(ALPHABET[0]))
+    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") + 1), lambda i: F.substring(edged, i, F.lit(2)))).alias("pair"))
+    return pairs.groupBy("label", "pair").agg(F.count("*").alias("k"))
 
 
 def _codes(token: Column) -> Column:
@@ -62,17 +85,15 @@ def _codes(token: Column) -> Column:
     return F.concat(F.array(F.lit(0)), inner, F.array(F.lit(0)))
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-ratio of the two models for every pair of characters, row by row, from samples (label, token).
+def train(pairs: DataFrame) -> list[float]:
+    """Log-ratio of the two models for every pair of characters, row by row, from counts (label, pair, k).
 
     Counts are added up by Spark, at most a row for each label and pair of characters; one is added to every count.
     """
     n = len(ALPHABET)
-    edged = F.concat(F.lit(ALPHABET[0]), "token", F.lit(ALPHABET[0]))
-    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") + 1), lambda i: F.substring(edged, i, F.lit(2)))).alias("pair"))
     counts = {k: [1.0] * (n * n) for k in ("random", "ordinary")}
     place = {c: i for i, c in enumerate(ALPHABET)}
-    for row in pairs.where(F.col("label").isin(*counts)).groupBy("label", "pair").agg(F.count("*").alias("k")).collect():
+    for row in pairs.collect():
         a, b = (place.get(c, 0) for c in row.pair)
         counts[row.label][a * n + b] += row.k
 
@@ -142,7 +163,7 @@ def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
 
 
 def trained(docs: DataFrame) -> list[float]:
-    return train(random_samples(docs.sparkSession).unionByName(ordinary_samples(docs)))
+    return train(sample_pairs(random_samples(docs.sparkSession)).unionByName(ordinary_pairs(docs)))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ FEW = 48
 
 
 class Decoder(Protocol):
-    """May also have ``decode_batch(actives) -> (64-bit flips, confidences)``."""
+    """May also have ``decode_batch(actives) -> (64-bit flips, confidences)``, and ``quiet``, (flips, confidence) of a window with nothing fired, if other than (0, 1.0); None: to be asked."""
 
     def decode(self, active: np.ndarray) -> tuple[int, float]: ...
 
@@ -36,6 +36,8 @@ class Decoder(Protocol):
 class Null:
     """Predicts no flip, with full confidence."""
 
+    quiet = (0, 1.0)
+
     def decode(self, active: np.ndarray) -> tuple[int, float]:
         return 0, 1.0
 
@@ -48,6 +50,8 @@ class UnionFind:
     there.
     """
 
+    quiet = (0, 1.0)
+
     def __init__(self, graph: Graph):
         self.graph = graph
         self.edges = list(zip(graph.u.tolist(), graph.v.tolist(), strict=True))
@@ -152,6 +156,8 @@ class Matching:
 
     EXACT = 16
 
+    quiet = (0, 1.0)
+
     def __init__(self, graph: Graph):
         self.graph = graph
         scaled = np.rint(graph.weight * 1e6).astype(np.int64)
@@ -257,9 +263,11 @@ class Neural:
     """Any model from a flat window to one score for each observable: a callable, or an object with a usual method.
 
     Scores below 0 or above 1 are taken as logits.  A bit is set above the threshold; the confidence is the product
-    of the chosen sides' probabilities.
+    of the chosen sides' probabilities.  The model is asked about windows with nothing fired as about others.
     """
 
+    quiet = None
+
     def __init__(self, model, detectors: int, observables: int = 1, threshold: float = 0.5):
         self.model, self.detectors, self.observables, self.threshold = model, detectors, observables, threshold
 
@@ -282,6 +290,8 @@ class Neural:
 class Proxy:
     """Flips if any ancilla fires in more than half of a window's rounds."""
 
+    quiet = (0, 1.0)
+
     def __init__(self, ancillas: int, depth: int):
         self.ancillas, self.depth = ancillas, depth
 
@@ -305,11 +315,17 @@ def register(name: str, make: Callable[[Graph | None], Decoder]) -> None:
 
 
 def decoded(windows: DataFrame, decoder: str | Callable[[], Decoder], graph: Graph | None = None) -> DataFrame:
-    """Adds observable_flips, confidence and corrections to windows with ``active``."""
+    """Adds observable_flips, confidence and corrections to windows with ``active``.
+
+    A decoder whose ``quiet`` is None, as a trained model, is asked once for the empty set; others are not asked where
+    nothing fired.  A null ``active`` is no window to decode: 0 flips, confidence 1.
+    """
     if decoder == "null":
         return windows.withColumns({"observable_flips": F.lit(0).cast("bigint"), "confidence": F.lit(1.0)})
     make = (lambda: DECODERS[decoder](graph)) if isinstance(decoder, str) else decoder
-    held = windows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(make()))
+    one = make()
+    quiet = getattr(one, "quiet", (0, 1.0))
+    held = windows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(one))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = cloudpickle.loads(held.value)
@@ -324,7 +340,9 @@ def decoded(windows: DataFrame, decoder: str | Callable[[], Decoder], graph: Gra
                     flips, confidence = np.array([f for f, _ in found], np.uint64), [c for _, c in found]
                 yield pd.DataFrame({"active": part.to_numpy(), "observable_flips": flips.view(np.int64), "confidence": confidence})
 
-    distinct = windows.select("active").where("size(active) > 0").distinct()
+    fired = "active is not null" if quiet is None else "size(active) > 0"
+    distinct = windows.select("active").where(fired).distinct()
     said = distinct.mapInPandas(run, "active array<int>, observable_flips bigint, confidence double")
     out = windows.join(said, "active", "left")
-    return out.withColumns({"observable_flips": F.coalesce("observable_flips", F.lit(0).cast("bigint")), "confidence": F.coalesce("confidence", F.lit(1.0))})
+    flips, confidence = quiet or (0, 1.0)
+    return out.withColumns({"observable_flips": F.coalesce("observable_flips", F.lit(flips).cast("bigint")), "confidence": F.coalesce("confidence", F.lit(confidence))})

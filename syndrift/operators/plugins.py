@@ -25,6 +25,8 @@ def _need(package: str):
 class External:
     """A decoder that is made again in every Python worker, from what it was made of."""
 
+    quiet = None
+
     def __init__(self, *made_of):
         self.made_of = made_of
         self.inner = self.make(*made_of)

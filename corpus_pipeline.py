@@ -25,8 +25,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near-duplicates; of repeated rows all or none."""
-    found = minhash.report(minhash.near_duplicates(docs, Scratch(spark, "dedup")))
+    """Keeps one document, that with the smallest id, of each group of near-duplicates (0.8 or more); of repeated rows all or none."""
+    found = minhash.report(minhash.near_duplicates(docs, Scratch(spark, "dedup"), numerator=80))
     return _without(docs, found.where(~F.col("kept")))
 
 

@@ -1,21 +1,21 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-1. ``sketches``: the set of hashed word shingles of each text, and of every set a sketch of ``BANDS * ROWS``
+1. ``sketches``: the set of hashed word shingles of each text, and of every set a sketch of bands * rows
    coordinates.  Round by round each element is hashed to one coordinate; a coordinate keeps the smallest hash
    of the first round that reached it, and after as many random rounds as coordinates, fixed rounds reach the
    rest, so all are filled.  Equal coordinates then estimate the Jaccard similarity, tightly concentrated, for
    about the cost of one pass over the set.
 2. Equal sets fall together into classes by a 128-bit digest; only one representative of each goes on.
-3. Each band of ROWS coordinates is a key.  The smallest representative of a key is tied to its others, which
+3. Each band of coordinates is a key.  The smallest representative of a key is tied to its others, which
    takes one row for each member however many share the key; connected, these ties make *families*.
 4. Inside a family all pairs are compared on full sets, so whatever the sketch would estimate, no link between
    two of its members is lost.  Large families are cut into blocks and compared block against block in separate
    tasks, which give back a spanning forest of the links, never the pairs.
 5. The forests' components are the near-duplicate groups.
 
-Two sets at the threshold of 0.85 miss each other in every band with probability (1 - 0.85**ROWS)**BANDS, 4.6e-6;
-even then a third member can bring them into one family.  Sets of 5 or fewer shingles cannot reach 0.85 with
-another set and need no band.
+``shape`` derives rows and bands from the threshold t: two sets at t miss each other in every band with probability
+(1 - t**rows)**bands, at most ``MISS`` (4.6e-6 at 0.85); even then a third member can bring them into one family.
+Sets too small to reach t with another set (5 or fewer shingles at 0.85, 3 or fewer at 0.8) need no band.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; rows that
 share a doc_id count as one document and each comes out with its own n_shingles; other columns are ignored.
@@ -24,6 +24,7 @@ A null doc_id stays out of the links: its component is null and it is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ from .store import Scratch
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100
-ROWS, BANDS = 10, 56
+#: Most coordinates of a sketch, and the chance that two sets at the threshold miss each other in every band.
+COORDINATES, MISS = 560, 5e-6
 #: Members of a block of a family; two blocks meet in one task.
 BLOCK = 128
 #: Up to so many family members their ids are broadcast (16 bytes each); beyond, the texts are shuffled to them.
@@ -48,6 +50,19 @@ U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
+def shape(numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[int, int, int]:
+    """Size of the smallest set that can reach a threshold (below 1) with another, and rows and bands for the threshold.
+
+    Of two sets of which the smaller has s elements the similarity is s / (s + 1) at most.  Rows are as many as
+    ``COORDINATES`` allow with the bands that keep the chance of a miss at ``MISS``.
+    """
+    t = numerator / denominator
+    least = -(-numerator // (denominator - numerator))
+    bands = lambda r: math.ceil(math.log(MISS) / math.log1p(-(t**r)))
+    rows = max((r for r in range(1, 65) if r * bands(r) <= COORDINATES), default=1)
+    return least, rows, bands(rows)
+
+
 def sketch(elements: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
     """One row of t coordinates for each of the non-empty sets that lie end to end in ``elements``."""
     out = np.full(len(counts) * t, FULL, U)
@@ -92,8 +107,9 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sketches(docs: DataFrame, n: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, the digest (d1, d2) of the set, and its band keys (none for sets of up to 5)."""
+def sketches(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, the digest (d1, d2) of the set, and its band keys (none for sets too small for the threshold)."""
+    least, rows, bands = shape(numerator, denominator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +117,9 @@ def sketches(docs: DataFrame, n: int = SHINGLE, rows: int = ROWS, bands: int = B
                 sets = _sets(batch.column(1).slice(lo, hi - lo), n)
                 size = np.array([len(x) for x in sets])
                 digest = [np.array([T.mix(x ^ U(s)).sum(dtype=U) for x in sets], U).view(np.int64) for s in (1, 0x5851F42D4C957F2D)]
-                some = np.flatnonzero(size > 5)
+                some = np.flatnonzero(size >= least)
                 keys = band_keys(sketch(np.concatenate([sets[i] for i in some]), size[some], rows * bands), bands) if len(some) else np.zeros((0, bands), U)
-                cut = np.concatenate([[0], np.cumsum((size > 5) * bands)]).astype(np.int32)
+                cut = np.concatenate([[0], np.cumsum((size >= least) * bands)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.ravel().view(np.int64)))
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), *(pa.array(x) for x in digest), keys]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "keys"])
@@ -191,9 +207,9 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    drawn = scratch.write(sketches(docs, n), "sketches")
+    drawn = scratch.write(sketches(docs, n, numerator, denominator), "sketches")
     classes = scratch.write(drawn.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = drawn.where("n_shingles > 5").join(classes, ["d1", "d2"]).where("doc_id = rep")
+    keyed = drawn.where(F.col("n_shingles") >= shape(numerator, denominator)[0]).join(classes, ["d1", "d2"]).where("doc_id = rep")
     reps = scratch.write(keyed.select("rep", F.explode("keys").alias("key")), "keys")
     least = reps.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     ties = reps.join(least, "key").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))

@@ -88,6 +88,37 @@ NAMES = [
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike"),
     ("cc-by-nd", "creative", r"creative commons attribution no ?deriv[a-z]*"),
     ("cc-by", "creative", r"creative commons attribution"),
+    ("mit-0", "mit", r"mit 0"),
+    ("agpl-1.0", "agpl", r"agpl(?: version| v)? ?(?:1|v1)(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)? ?(?:3|v3)(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?(?:2|v2)(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?(?:2|v2) 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?(?:3|v3)(?: 0)?(?: only| or later)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?(?:1|v1)(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?(?:2|v2)(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?(?:3|v3)(?: 0)?(?: only| or later)?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: version| v)?(?: ?v?1 [1-3])?(?: only| or later)?"),
+    ("mpl-1.0", "mpl", r"mpl(?: version| v)? ?(?:1|v1)(?: 0)?"),
+    ("mpl-1.1", "mpl", r"mpl(?: version| v)? ?(?:1|v1) 1"),
+    ("mpl-2.0", "mpl", r"mpl(?: version| v)? ?(?:2|v2)(?: 0)?"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl-1.0", "epl", r"epl(?: version| v)? ?(?:1|v1)(?: 0)?"),
+    ("epl-2.0", "epl", r"epl(?: version| v)? ?(?:2|v2)(?: 0)?"),
+    ("epl", "epl", r"epl"),
+    ("eupl", "eupl", r"eupl(?: version| v)?(?: ?v?1 [0-2])?"),
+    ("cddl", "cddl", r"cddl(?: version| v)?(?: ?v?1 [01])?"),
+    ("cpl", "cpl", r"cpl(?: 1 0)?"),
+    ("bsl-1.0", "bsl", r"bsl(?: 1 0)?"),
+    ("busl", "busl", r"busl(?: 1 1)?"),
+    ("python", "psf", r"psf(?: 2 0)?"),
+    ("ofl", "ofl", r"(?:sil )?ofl(?: 1 [01])?"),
+    ("odbl", "odbl", r"odbl(?: 1 0)?"),
+    ("odc-by", "odc", r"odc by(?: 1 0)?"),
+    ("ms-pl", "ms", r"ms pl"),
+    ("ms-rl", "ms", r"ms rl"),
 ]
 #: The phrases around a name, with priority and score; the most telling first.
 PHRASES = [
@@ -111,8 +142,8 @@ SENTENCES = [
 ]
 #: Searched for first, in the text as it stands; every rule's match has one of them.
 GATE = (
-    r"(?i)licen[cs]|permission|redistribution|warranty|confidential|public\W+domain|rights\W+reserved|(?:under|to)\W+the\W+(?:terms|conditions)"
-    r"|(?:released|distributed|published|available|provided)\W+(?:to\W+you\W+)?under"
+    r"(?i)licen[cs]|permission|redistribution|warranty|confidential|public[\W_]+domain|rights[\W_]+reserved|(?:under|to)[\W_]+the[\W_]+(?:terms|conditions)"
+    r"|(?:released|distributed|published|available|provided)[\W_]+(?:to[\W_]+you[\W_]+)?under"
 )
 
 

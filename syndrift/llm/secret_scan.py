@@ -96,6 +96,16 @@ def train(pairs: DataFrame) -> list[float]:
     for row in pairs.collect():
         a, b = (place.get(c, 0) for c in row.pair)
         counts[row.label][a * n + b] += row.k
+    # ordinary words are joined by other marks as by _, and lines are ruled with marks
+    own, joint = counts["ordinary"], place["_"]
+    after, before = own[joint * n : joint * n + n], own[joint::n]
+    edges = sum(own[:n])
+    for m in (place[c] for c in "-/+=_"):
+        for i in range(n) if m != joint else ():
+            own[m * n + i] += after[i]
+            own[i * n + m] += before[i]
+        for at in (m, m * n + m, m * n):
+            own[at] += edges / 100
 
     def logs(c: list[float]) -> list[float]:
         return [math.log(x / sum(c[i - i % n : i - i % n + n])) for i, x in enumerate(c)]
@@ -126,8 +136,7 @@ def _spans(rows: DataFrame, text: Column, model: list[float] | None, min_log_odd
     value = F.transform(F.col("_m0.found"), lambda x: F.regexp_extract(x, ASSIGN, 2))
     spans = [located(F.col("_m0"), 0, value), located(F.col("_m1"), 1), located(F.col("_m2"), 2)]
     base = F.concat(F.filter(spans[0], lambda s: F.length(s["value"]) >= 6), *spans[1:])
-    more = F.filter(located(F.col("_m3"), 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = rows.withColumns({"_base": base, "_more": more})
+    rows = rows.withColumns({"_base": base, "_more": located(F.col("_m3"), 3)})
     if model:
         free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         scored = F.filter("_more", lambda s: free(s) & (log_odds(s["value"], model) > min_log_odds))

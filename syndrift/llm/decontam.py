@@ -11,8 +11,7 @@ a hash of their id into blocks that each search the whole index, so a broadcast
 (one longer text makes a block of its own size).
 
 Defined results: a null or empty text has no words and is found by nothing; an empty query is found nowhere; a
-row of ``docs`` yields one row, so repeated rows repeat (where several blocks are searched, rows of one doc_id come
-together as one); queries with a null id are left out; other columns are
+row of ``docs`` yields one row, so repeated rows repeat, however many blocks are searched; queries with a null id are left out; other columns are
 ignored.  Terms are 64-bit hashes of words, so a false match needs a collision of two words.
 """
 
@@ -219,17 +218,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: in
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         return phrase_windows([r.item_id for r in rows], [r.text for r in rows], n)
 
-    found = None
+    found, own = None, docs
+    if blocks > 1:
+        # the same rows in every block: each keeps a key of its own, written once with its text
+        keyed = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "keyed")
+        own = keyed.select(F.col("row").alias("doc_id"), "text")
     for k in range(blocks):
         windows = block(k)
         terms = np.unique(np.concatenate([x.ravel() for x, _ in windows.values()] or [np.zeros(0, np.uint64)]))
-        index = build_index(docs, scratch, terms, f"index{k}")
+        index = build_index(own, scratch, terms, f"index{k}")
         if blocks == 1:
             return find_phrases(index, windows)
         part = scratch.write(find_phrases(index, windows).where((F.size("spans") > 0) | F.lit(k == 0)), f"found{k}")
         scratch.drop(f"index{k}")
         found = part if found is None else found.unionByName(part)
-    return merge_found(found)
+    merged = merge_found(found).withColumnRenamed("doc_id", "row")
+    return merged.join(keyed.select("row", "doc_id"), "row").select("doc_id", "n_words", "spans", "items")
 
 
 def merge_found(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,9 +27,11 @@ def session(name: str = "syndrift", master: str | None = None, **settings: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a new temporary folder."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new temporary folder in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='syndrift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

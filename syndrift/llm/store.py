@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a new temporary folder."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new temporary folder in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='syndrift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,12 +24,14 @@ class Scratch:
     """Tables of one run of an operator, each written once and read from then on.
 
     A lost executor costs at most the tasks since the last table.  Tables that nothing reads any more go with
-    ``drop``; those behind a returned DataFrame stay, since it is read later.
+    ``drop``; those behind a returned DataFrame are read later and go when the session's driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/syndrift/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"

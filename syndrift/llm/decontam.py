@@ -31,6 +31,8 @@ WINDOW = 13
 #: Bytes of text in a segment; one longer text is a segment of its own.
 SEGMENT_BYTES = 2 << 20
 BLOCK_CHARS = 32 << 20
+#: As ``textnum.LOWER``: A-Z only.
+FOLD = {c: c + 32 for c in range(65, 91)}
 
 SEGMENT = "doc_ids array<bigint>, starts array<bigint>, terms array<bigint>, heads array<bigint>, places array<int>"
 FOUND = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>"
@@ -195,8 +197,8 @@ def find_phrases(index: DataFrame, windows: dict[int, tuple[np.ndarray, list[set
 
 
 def find_near(index: DataFrame, queries: dict[int, list[str]], within: int) -> DataFrame:
-    """Every shortest run of at most ``within`` words that has all words of a query, in any order."""
-    held = index.sparkSession.sparkContext.broadcast({i: np.unique(np.array([T.word_hash(x.lower()) for x in q], np.uint64)) for i, q in queries.items()})
+    """Every shortest run of at most ``within`` words that has all words of a query, in any order.  Words are folded as in the index."""
+    held = index.sparkSession.sparkContext.broadcast({i: np.unique(np.array([T.word_hash(x.translate(FOLD)) for x in q], np.uint64)) for i, q in queries.items()})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

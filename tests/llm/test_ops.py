@@ -71,8 +71,7 @@ def test_contamination(spark, docs, rows):
     for block in (decontam.BLOCK_CHARS, 60):
         got = decontam.report(decontam.contamination(docs, bench, Scratch(spark, "t"), block_chars=block)).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
-        if block > 1000:
-            assert len(got) == len(rows)
+        assert len(got) == len(rows)
     assert decontam.contamination(docs.limit(0), bench, Scratch(spark, "t")).count() == 0
     none = decontam.report(decontam.contamination(docs, bench.limit(0), Scratch(spark, "t")))
     assert none.agg(F.sum("n_hit")).first()[0] == 0
@@ -90,6 +89,12 @@ def test_proximity(spark):
     assert got == want
 
 
+def test_proximity_folds_as_the_index(spark):
+    index = decontam.build_index(spark.createDataFrame([(1, "École Ünder ZWEI"), (2, "école zwei")], "doc_id bigint, text string"), Scratch(spark, "t"))
+    found = decontam.find_near(index, {1: ["École", "zwei"], 2: ["école", "ZWEI"]}, 5)
+    assert {(r.doc_id, r.query_id) for r in found.collect()} == {(1, 1), (2, 2)}
+
+
 # ---- 2 chat formatting
 
 

@@ -7,14 +7,16 @@ tokens there are, how many are left after cutting, and the quantiles.
 The sums run in two steps, inside ranges of lengths and over the ranges, so no task holds the whole histogram.
 
 Defined results: a null or empty text has length 0; repeated rows count each; an empty table has an empty
-histogram; other columns are ignored.  Strings of special tokens inside a text are ordinary text.
+histogram; other columns are ignored.  Strings of special tokens inside a text are ordinary text.  White space of any
+length is encoded as the pattern splits it: a run without its last character, which belongs to what follows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from .mixing import before
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths of one range: neither a range nor the list of ranges of texts of a million tokens is long.
 RANGE = 64
+#: Runs of white space (the Unicode property) from this length on are split by hand: matching them takes a stack as deep as they are long.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -36,17 +40,31 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
     return ranks, public_tokenizers.PATTERN
 
 
+def counter(ranks: dict[bytes, int], pattern: str) -> Callable[[str], int]:
+    """How many tokens a text encodes to."""
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def count(text: str) -> int:
+        n, at = 0, 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            n += len(own.encode_ordinary(text[at : run.start()])) + len(own._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+            at = end
+        return n + len(own.encode_ordinary(text[at:]))
+
+    return count
+
+
 def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     """length and n_docs: how many texts of ``docs`` (text) encode to that many tokens."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks, pattern = held.value
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokens = counter(*held.value)
         for batch in batches:
-            seen: Counter = Counter(len(encode(x.as_py() or "")) for x in batch.column(0))
+            seen: Counter = Counter(tokens(x.as_py() or "") for x in batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "length bigint, n bigint")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import joined, located, matches, no_spans
+from .spans import SPAN, free, joined, let, located, matches, no_spans, part, slices, walk
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -138,8 +138,7 @@ def _spans(rows: DataFrame, text: Column, model: list[float] | None, min_log_odd
     base = F.concat(F.filter(spans[0], lambda s: F.length(s["value"]) >= 6), *spans[1:])
     rows = rows.withColumns({"_base": base, "_more": located(F.col("_m3"), 3)})
     if model:
-        free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        scored = F.filter("_more", lambda s: free(s) & (log_odds(s["value"], model) > min_log_odds))
+        scored = F.filter(free(F.col("_more"), F.col("_base")), lambda s: log_odds(s["value"], model) > min_log_odds)
         rows = rows.withColumn("_more", F.when(F.size("_more") > 0, scored).otherwise(no_spans()))
     order = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["value"].alias("value"))))
     return rows.withColumns({"_base": order(F.col("_base")), "_spans": order(F.concat("_base", "_more"))}).drop("_m0", "_m1", "_m2", "_m3", "_more")
@@ -157,15 +156,18 @@ def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
     names = F.array(*(F.lit(k) for k in KINDS))
-    begin = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] + 1 >= a["at"]
-        before = F.when(fresh, F.substring("_text", a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int"))).otherwise(F.lit(""))
-        mark = F.when(fresh, F.concat(F.lit("[REDACTED:"), F.element_at(names, s["no"] + 1), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), F.concat(a["out"], before, mark).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        fresh = s["start"] >= at
+        return F.greatest(at, s["end"]), F.struct(at.alias("from"), s["start"].alias("start"), F.element_at(names, s["no"] + 1).alias("kind"), fresh.alias("fresh"))
 
-    clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring("_text", a["at"].cast("int"), F.length("_text"))))
+    def cleaned(spans: Column, cut: Column) -> Column:
+        marks = F.filter(walk(spans, F.lit(0), "bigint", "struct<from:bigint,start:bigint,kind:string,fresh:boolean>", step), lambda m: m["fresh"])
+        texts = F.transform(marks, lambda m: F.concat(part(cut, m["from"], m["start"]), F.lit("[REDACTED:"), m["kind"], F.lit("]")))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(texts, ""), part(cut, end, F.length("_text").cast("bigint")))
+
+    clean = let(slices(F.col("_text")), lambda cut: cleaned(F.col("_spans"), cut))
     found = _spans(own, F.col("_text"), model, min_log_odds)
     new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("_row.text"))
     return found.select(*(new.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -371,14 +371,8 @@ def _detections(words: list[str], known: list[dict]) -> list[tuple]:
         for m in brute.re.finditer(r["regex"], norm):
             a, b = norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" ")
             found.append((a, -b, -r["priority"], r["no"], r["label"], r["score"]))
-    kept, end, rank = [], 0, 0
-    for x in sorted(found):
-        if -x[1] <= end and x[2] >= rank:
-            continue
-        rank = x[2] if -x[1] > end else min(rank, x[2])
-        end = max(end, -x[1])
-        kept.append(x)
-    return kept
+    inside = lambda x, y: y[0] <= x[0] and y[1] <= x[1] and (y[2], y[0] - x[0], y[1] - x[1], y[3]) < (x[2], 0, 0, x[3])
+    return sorted(x for x in found if not any(inside(x, y) for y in found))
 
 
 def test_licenses(spark, docs, rows):

@@ -1,9 +1,11 @@
 """Secret scans: base patterns, and character Markov models for secrets that have no pattern.
 
 Two first-order Markov models over the characters of a token, one of random strings and one of ordinary
-identifiers, are counted: the first from drawn samples, the second from the words of all documents.  A token is a secret if the log of its likelihood
+identifiers, are counted: the first from drawn samples, the second from the words of all documents and, weighing as
+much, from samples of what programs, paths and dates look like.  A token is a secret if the log of its likelihood
 under the first over that under the second exceeds ``MIN_LOG_ODDS`` (e**12 to 1, the prior against a secret).  The
-table of transitions is as large as the alphabet squared, whatever the samples.
+table of transitions is as large as the alphabet squared, whatever the samples.  Characters do not tell hex secrets from
+UUIDs, nor secret numbers from others, so short or upper-case hex is mostly, and a number always, left alone.
 
 Everything is built-in functions: regexes, arrays and aggregates.  The base patterns stay as they are; the model
 only adds spans that meet none of theirs.
@@ -30,21 +32,67 @@ HEX = r"[0-9a-f]{24,}"
 ALPHABET = "^ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_LOG_ODDS = 12.0
-#: Random strings drawn of each kind.
+#: Random and ordinary strings drawn of each kind.
 TRAIN_RANDOM = 20_000
+#: Words of programs, of which ordinary samples are made.
+WORDS = """
+abstract access account action active adapter address admin agent alpha amount analysis android animation api app application archive array article asset async attribute audio auth author auto
+background backup base batch bean beta binary block blog body bool bootstrap border bottom branch browser bucket buffer build builder button byte cache calendar callback camera cancel canvas card
+catalog category center certificate channel char chart chat check child class clear client clone cloud cluster code collection color column command comment common compare component compress config
+connect console const container content context control controller cookie copy core count country create credit currency current custom customer dashboard data database date debug decimal default
+delete delivery demo deploy description design desktop detail developer device dialog digest dimension directory disable discount display document domain download draft driver dynamic editor element
+email empty enable encoding encrypt engine entity entry enum error event example exception execute export express extension external factory failed favorite feature feed fetch field file filter final
+find firebase flag float folder font footer form format frame framework front function gallery game gateway general generator get global graph grid group guest guide handler hash header height helper
+hidden history home host html http icon identity image import index info init inline input insert install instance integer interface internal invalid invoice item iterator java job join json kernel
+keyboard label language latest layout left length level library license light limit line link linux list listener load local location lock log login logo long machine main manager map margin market
+master match maximum media member memory menu merge message meta method metric migration minimum mobile mock mode model module monitor month multiple name native navigation network news node normal
+notes notification null number object offset online open operation option order origin output overview owner package page panel parameter parent parser partner password path pattern payment pending
+permission person phone photo picture pixel plain platform player plugin point policy pool popup port position post prefix preview price primary print private process product production profile
+program progress project prompt property protocol provider proxy public publish query queue quick random range rate reader receipt record redirect reference refresh region register release remote
+remove render replace report repository request required reset resize resolver resource response rest result retry return review right role root route router rule sample save scale schedule schema
+screen screenshot script scroll search section secure security select sender sequence serial server service session setting setup shadow shape share shell shipping shop show sidebar sign signal
+signature simple single singleton size slide snapshot social socket sort source space spring stack staff stage standard start state static statistics status step stock storage store stream string style
+submit summary support switch symbol sync system table target task team template temp terminal test text theme thread thumbnail ticket time timeout title toggle token tool toolbar top total trace track
+transaction transfer transform translate tree trigger type unicode unique unit update upload url user username utf util utils valid validate value variable vector vendor version video view visible
+visitor volume warning watch web week widget width wiki window word work worker wrapper writer xml year zone
+"""
 #: Tasks over which they are spread.
 TRAIN_TASKS = 32
 
 
 def random_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
-    """Labelled random strings: digests in hex, base 64, base 64 for URLs, and upper-case letters with digits."""
+    """Labelled random strings: base 64, base 64 for URLs, letters and digits in both cases or one, letters alone in both cases or one,
+    and hex in either case."""
     ids = spark.range(0, n, 1, TRAIN_TASKS)
-    digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
-    b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    kinds = [F.substring(digest, 1, 40), b64, F.translate(b64, "+/", "-_"), F.regexp_replace(F.upper(b64), "[^A-Z0-9]", "")]
+    drawn = lambda k: F.regexp_replace(F.base64(F.unhex(F.concat(*(F.sha2(F.concat(F.lit(f"sample:{k}:{j}:"), F.col("id").cast("string")), 256) for j in range(2))))), "=+$", "")
+    only = lambda k, kept: F.regexp_replace(k, f"[^{kept}]", "")
+    hexes = F.substring(F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256), 1, 40)
+    kinds = [drawn(0), F.translate(drawn(1), "+/", "-_"), only(drawn(2), "A-Za-z0-9"), only(drawn(3), "A-Z0-9"), only(drawn(4), "a-z0-9"), only(drawn(5), "A-Za-z"), only(drawn(6), "a-z"), only(drawn(7), "A-Z"), hexes, F.upper(hexes)]
     return ids.select(F.lit("random").alias("label"), F.explode(F.array(*kinds)).alias("token"))
 
 
+def ordinary_samples(spark, n: int = TRAIN_RANDOM) -> DataFrame:
+    """Labelled ordinary strings beyond words of documents: names as programs join and number them, paths, dates, versions, UUIDs."""
+    row = spark.range(0, n, 1, TRAIN_TASKS)
+    digest = lambda k: F.sha2(F.concat(F.lit(f"ordinary:{k}:"), F.col("id").cast("string")), 256)
+    drawn = lambda k, most: F.pmod(F.xxhash64(F.lit(k), F.col("id")), F.lit(most))
+    word = lambda k: F.element_at(F.array(*(F.lit(w) for w in WORDS.split())), (drawn(k, len(WORDS.split())) + 1).cast("int"))
+    number = lambda k, most: drawn(k, most).cast("string")
+    two = lambda k, most: F.lpad((drawn(k, most) + 1).cast("string"), 2, "0")
+    date = F.concat_ws("-", (drawn(50, 60) + 1980).cast("string"), two(51, 12), two(52, 28))
+    u = digest(0)
+    uuid = F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.concat(F.lit("4"), F.substring(u, 14, 3)), F.concat(F.lit("a"), F.substring(u, 18, 3)), F.substring(u, 21, 12))
+    kinds = [
+        F.concat_ws("_", word(1), word(2), word(3)), F.concat_ws("-", word(4), word(5), word(6), number(7, 100)), F.concat(word(8), *(F.initcap(word(k)) for k in (9, 10, 11)), number(12, 20)),
+        F.concat(*(F.initcap(word(k)) for k in (13, 14, 15)), number(16, 3000)), F.concat(F.upper(word(17)), number(18, 600), F.initcap(word(19)), F.upper(word(20)), F.initcap(word(21))),
+        F.concat(word(22), number(23, 64), F.substring(word(24), 1, 2), number(25, 9), F.lit("_"), word(26), F.lit("_"), number(27, 1000), F.lit("_"), F.substring(word(28), 1, 2)),
+        F.concat_ws("/", word(29), word(30), (drawn(31, 30) + 1995).cast("string"), two(32, 12), F.concat_ws("-", word(33), date)), F.concat_ws("/", word(34), F.concat(F.initcap(word(35)), F.initcap(word(36))), word(37), number(38, 10000)),
+        F.concat_ws("_", F.upper(word(39)), F.upper(word(40)), F.upper(word(41)), number(42, 12)), uuid, F.upper(uuid), F.concat(date, F.lit("T"), two(43, 23), F.lit("-"), two(44, 59)),
+        F.concat_ws("-", F.concat(word(45), F.lit("v"), number(46, 30)), number(47, 30), number(48, 100), word(49)), F.concat(F.regexp_replace(date, "-", ""), two(53, 23), two(54, 59), number(55, 1000000)),
+    ]
+    return row.select(F.lit("sample").alias("label"), F.explode(F.array(*kinds)).alias("token"))
+
+
 def ordinary_pairs(docs: DataFrame) -> DataFrame:
     """(label, pair, k): pairs of characters, with the edges, in identifiers made of the words of all documents: words
     alone, joined as programs join them, and beside numbers.
@@ -91,11 +139,18 @@ def train(pairs: DataFrame) -> list[float]:
     Counts are added up by Spark, at most a row for each label and pair of characters; one is added to every count.
     """
     n = len(ALPHABET)
-    counts = {k: [1.0] * (n * n) for k in ("random", "ordinary")}
+    counts = {k: [0.0] * (n * n) for k in ("random", "ordinary", "sample")}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for row in pairs.collect():
         a, b = (place.get(c, 0) for c in row.pair)
         counts[row.label][a * n + b] += row.k
+    # documents and samples weigh alike, however many documents there are
+    texts, made = sum(counts["ordinary"]), sum(counts["sample"])
+    if texts and made:
+        counts["ordinary"] = [a * made / texts + b for a, b in zip(counts["ordinary"], counts["sample"], strict=True)]
+    elif made:
+        counts["ordinary"] = counts["sample"]
+    counts = {k: [x + 1.0 for x in counts[k]] for k in ("random", "ordinary")}
     # ordinary words are joined by other marks as by _, and lines are ruled with marks
     own, joint = counts["ordinary"], place["_"]
     after, before = own[joint * n : joint * n + n], own[joint::n]
@@ -174,7 +229,8 @@ def mask(docs: DataFrame, model: list[float] | None = None, min_log_odds: float
 
 
 def trained(docs: DataFrame) -> list[float]:
-    return train(sample_pairs(random_samples(docs.sparkSession)).unionByName(ordinary_pairs(docs)))
+    drawn = random_samples(docs.sparkSession).unionByName(ordinary_samples(docs.sparkSession))
+    return train(sample_pairs(drawn).unionByName(ordinary_pairs(docs)))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.mine(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge(pages, url_filter.mine(pages, table(spark, sf_dir, "labels"), Scratch(spark, "op8")))
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

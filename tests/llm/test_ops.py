@@ -332,9 +332,9 @@ def _fixed(url):
 
 def test_fixed_rules(spark):
     pages = spark.createDataFrame([(*u, "h") for u in URLS], "page_id bigint, url string, host string")
-    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(pages, []).collect())
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(pages).collect())
     assert got == sorted((i, *_fixed(u)[:2], _fixed(u)[2] or "", _fixed(u)[3] or "allow") for i, u in URLS)
-    assert url_filter.judge(pages.limit(0), []).count() == 0
+    assert url_filter.judge(pages.limit(0)).count() == 0
 
 
 def test_mined_rules(spark):
@@ -345,21 +345,53 @@ def test_mined_rules(spark):
         rows.append((i, f"https://{site}.test/{part}/{rng.randrange(100, 999)}?{key}=1"))
         labels.append((i, 1, int(site == "a" and key == "ref" or rng.random() < 0.02)))
     pages, marks = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    mined = url_filter.mine(pages, marks, min_support=0.02, min_confidence=0.6)
+    mined = url_filter.mine(pages, marks, Scratch(spark, "t"), min_support=0.02, min_confidence=0.6)
     sets = {r.page_id: set(r.t) for r in pages.select("page_id", url_filter.tokens(F.col("url")).alias("t")).collect()}
     bad = {i for i, _, t in labels if t}
+    rate = len(bad) / len(rows)
+    # tokens of the same pages count as one
+    on = {}
+    for t in {t for s in sets.values() for t in s}:
+        on.setdefault(frozenset(i for i, s in sets.items() if t in s), []).append(t)
+    first = {min(ts, key=lambda t: (len(t), t)) for ts in on.values()}
     every = {}
-    for k in range(1, url_filter.MAX_ITEMS + 1):
-        for items in {frozenset(c) for s in sets.values() for c in combinations(sorted(s), k)}:
-            on = [i for i, s in sets.items() if items <= s]
-            both = sum(i in bad for i in on)
-            if both >= 20 and both / len(on) >= 0.6:
-                every[items] = both / len(on)
+    for k in range(1, len(first) + 1):
+        for items in {frozenset(c) for s in sets.values() for c in combinations(sorted(s & first), k)}:
+            has = [i for i, s in sets.items() if items <= s]
+            both = sum(i in bad for i in has)
+            if both >= 20 and both / len(has) >= 0.6 and both / len(has) - rate >= url_filter.MIN_Z * (rate * (1 - rate) / len(has)) ** 0.5:
+                every[items] = both / len(has)
     pruned = {k: v for k, v in every.items() if not any(o < k and w >= v for o, w in every.items())}
-    assert {frozenset(r["items"]): pytest.approx(r["confidence"]) for r in mined} == pruned and frozenset({"h:a", "q:ref"}) in pruned
-    got = {r.page_id: r.verdict for r in url_filter.judge(pages, mined).collect()}
-    assert got == {i: "block" if any(k <= s for k in pruned) else "allow" for i, s in sets.items()}
-    assert url_filter.mine(pages, marks.limit(0)) == [] and url_filter.mine(pages.limit(0), marks) == []
+    assert {frozenset(r["items"]): pytest.approx(r["confidence"]) for r in mined.collect()} == pruned and frozenset({"h:a", "q:ref"}) in pruned
+    want = {i: "block" if any(k <= s for k in pruned) else "allow" for i, s in sets.items()}
+    told = [sorted(map(tuple, url_filter.judge(pages, mined, most).collect()), key=repr) for most in (url_filter.MAX_BROADCAST, 0)]
+    assert {r[0]: r[4] for r in told[0]} == want and told[0] == told[1] and "block" in want.values()
+    assert url_filter.mine(pages, marks.limit(0), Scratch(spark, "t")).count() == 0 and url_filter.mine(pages.limit(0), marks, Scratch(spark, "t")).count() == 0
+
+
+def test_redundant_rules_do_not_crowd_out_others(spark):
+    """Long combinations of one site collapse to one rule, and a rule that needs five tokens is found."""
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(900):
+        own = [rng.random() < 0.75 for _ in range(5)]
+        site = "/".join(f"part{'abcdefghij'[k]}" for k in range(8)) if i % 9 == 0 else "".join(f"{'vwxyz'[k]}/" for k in range(5) if own[k])
+        rows.append((i, f"https://{'bad' if i % 9 == 0 else 'mix'}.test/{site}"))
+        labels.append((i, None if i % 2 else 1, int(i % 9 == 0 or all(own))))
+    pages, marks = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    mined = [set(r["items"]) for r in url_filter.mine(pages, marks, Scratch(spark, "t")).collect()]
+    assert {"p:v", "p:w", "p:x", "p:y", "p:z"} in mined and sum(any(t.startswith("p:part") or t == "h:bad" or t.startswith("d:bad") for t in m) for m in mined) == 1
+
+
+def test_labels_that_do_not_depend_on_urls_give_no_rules(spark):
+    rng = random.Random(9)
+    rows = [(i, f"https://{rng.choice(['www', 'blog'])}.s{rng.choice('abcd')}.test/{rng.choice('xyz')}/{rng.randrange(999)}?{rng.choice(['ref', 'id'])}=1") for i in range(1000)]
+    pages = spark.createDataFrame([*rows, (5000, "http://" + "very/long/" * 50_000), (None, "http://a.b/c")], "page_id bigint, url string")
+    for share in (0.0, 0.1, 0.7, 1.0):
+        marks = spark.createDataFrame([(i, 1, int(rng.random() < share)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+        rules = url_filter.mine(pages, marks, Scratch(spark, "t"))
+        assert rules.count() == 0 and url_filter.judge(pages, rules).where("verdict = 'block'").count() == 0
+    nothing = spark.createDataFrame([(i, None, None) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    assert url_filter.mine(pages, nothing, Scratch(spark, "t")).count() == 0
 
 
 # ---- 10 license scans

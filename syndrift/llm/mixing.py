@@ -5,7 +5,7 @@ equal size, which may begin and end inside a document.  The schedule is a row of
 multiples, or van der Corput's points, fall into the sources' shares of the unit interval, and the k-th slot of a
 source takes its k-th block, from the first again after the last.  Any stretch of the schedule is then close to
 the target shares.  Slots are drawn until each source has as many as its target needs; later ones are left out and
-the last one of a source stops at its target.
+the last one of a source stops at its target.  Every slot has its place in the schedule.
 
 Targets share all words by weight; no target exceeds ``epochs`` times its source, and what a source cannot take
 goes to the others by weight until none is above.
@@ -107,24 +107,22 @@ def cut_points(source: dict, block: int) -> dict:
 
 
 def schedule(spark: SparkSession, sources: list[dict], point: Callable = golden) -> DataFrame:
-    """slot, sid and rank: as many slots of a source as it needs; slot is null for those put at the end.
+    """slot, sid and rank: as many slots of a source as it needs, in the order of the points drawn.
 
-    Points are drawn until all sources of some share have met their needs; a source so small that no point may
-    meet it gets its few slots at the end.
+    A source's part of the unit interval is its part of all slots needed, the target in whole blocks.  Of n slots in all,
+    multiples of the golden ratio meet an interval of length w at least once in 2.62 / w points and van der Corput's once in
+    4 / w, wherever they begin; so with 4 n points, and some for rounding, every source has what it needs.
     """
     need = {s["sid"]: s["slots"] for s in sources if s["slots"]}
-    whole = sum(s["target"] for s in sources) or 1.0
-    edges, at = [], 0.0
-    for s in sources:
-        if s["sid"] in need:
-            edges.append((s["sid"], at, at + s["target"] / whole, need[s["sid"]]))
-            at += s["target"] / whole
-    if not edges:
+    whole = sum(need.values())
+    if not whole:
         return spark.createDataFrame([], "slot bigint, sid int, rank bigint")
-    edges[-1] = (*edges[-1][:2], 1.0, edges[-1][3])
+    edges, at = [], 0
+    for sid, n in need.items():
+        edges.append((sid, at / whole, (at + n) / whole, n))
+        at += n
     table = spark.createDataFrame(edges, "sid int, low double, high double, need long")
-    wanted = max(int(n / max(high - low, 1e-12)) for _, low, high, n in edges)
-    slots = min(wanted * 9 // 8 + 64, 4 * sum(need.values()) + 64)
+    slots = 4 * whole + 64
     # a point's source by its cell of the unit interval, then the exact share
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
     shares = F.broadcast(table.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))))
@@ -132,10 +130,7 @@ def schedule(spark: SparkSession, sources: list[dict], point: Callable = golden)
     drawn = drawn.join(shares, "cell").where("low <= u and u < high").select("slot", "sid", "need")
     drawn = drawn.withColumns({"place": F.floor(F.col("slot") / (math.isqrt(slots) + 1)), "one": F.lit(1)})
     ranked = before(drawn, ["sid"], "place", ["slot"], "one", "rank")
-    have = ranked.groupBy("sid").agg(F.count("*").alias("n"))
-    lacking = table.join(F.broadcast(have), "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), "need").where("n < need")
-    late = lacking.select(F.lit(None).cast("long").alias("slot"), "sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
-    return ranked.where("rank < need").select("slot", "sid", F.col("rank").cast("long").alias("rank")).unionByName(late)
+    return ranked.where("rank < need").select("slot", "sid", F.col("rank").cast("long").alias("rank"))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:

@@ -307,7 +307,7 @@ def test_mixing_edges(spark, docs):
 
 def test_schedule_is_even(spark):
     sources = [{"sid": i, "target": t, "slots": n} for i, (t, n) in enumerate([(500.0, 500), (300.0, 300), (200.0, 200), (0.5, 1)])]
-    rows = mixing.schedule(spark, sources).where("slot is not null").collect()
+    rows = mixing.schedule(spark, sources).collect()
     for upto in (50, 200, 700):
         own = [r.sid for r in rows if r.slot < upto]
         assert all(abs(own.count(i) / len(own) - s["target"] / 1000.5) < 0.03 for i, s in enumerate(sources))
@@ -315,6 +315,17 @@ def test_schedule_is_even(spark):
     assert {i: sorted(r["rank"] for r in all_ if r.sid == i) for i in range(4)} == {i: list(range(s["slots"])) for i, s in enumerate(sources)}
 
 
+@pytest.mark.parametrize("point", [mixing.golden, mixing.van_der_corput])
+def test_every_slot_is_in_the_schedule(spark, point):
+    """Sources of a few words beside one of nearly all."""
+    for sizes in ([1], [1, 1], [9_000, 1, 1, 2, 1], [1] * 300, [5_000, *range(1, 40)]):
+        got = mixing.schedule(spark, [{"sid": i, "target": 0.01 if n == 1 else float(n), "slots": n} for i, n in enumerate(sizes)], point).collect()
+        ranks = {}
+        for r in sorted(got, key=lambda r: r.slot):
+            ranks.setdefault(r.sid, []).append(r["rank"])
+        assert ranks == {i: list(range(n)) for i, n in enumerate(sizes)} and len({r.slot for r in got}) == sum(sizes)
+
+
 # ---- 8 URL filters
 
 URLS = [

@@ -2,17 +2,19 @@
 
 The text view sees what a text is made of: shares of kinds of characters, repetition, and the presence of telling
 words and word beginnings.  The metadata view sees language, source, length class and the tokens of the page's URL.
-Each is a logistic regression, first fitted to labelled documents.  In every round each view labels documents of a
-pool of unlabelled ones where it is sure, and the *other* view is fitted again with these added.  At the end each
-view's score is calibrated on labelled documents kept apart, and the two are combined as independent evidence:
-their log-odds add up, less the prior's.
+Each is a logistic regression, first fitted to labelled documents.  In every round each view labels, of all documents
+without a label, those of which it is sure, and the *other* view is fitted again with these added.  What they add comes
+from one pass over the whole table: their slope at the view's present weights and a bound of their curvature, summed for
+each weight (``pseudo``), so fitting works on the labelled documents and this bound, however many documents there are.
+They weigh at most as much as the labelled ones.  At the end each view's score is calibrated on labelled documents kept
+apart, and the two are combined as independent evidence: their log-odds add up, less the prior's.
 
-A document is good if its label says quality and not toxic.  Fitting uses at most ``MAX_LABELLED`` labelled and
-``MAX_POOL`` unlabelled documents, those with the smallest hashed ids, and ``MAX_TERMS`` terms, so what the driver
-holds is bounded; scoring covers every document, and shuffles no texts.
+A document is good if its label says quality and not toxic.  Fitting uses at most ``MAX_LABELLED`` labelled documents,
+those with the smallest hashed ids, and tells them apart by the ``MAX_TERMS`` most telling terms; documents without a
+label all take part.  Scoring covers every document, and shuffles no texts.
 
 Defined results: a null or empty text has no terms and zero shares; null metadata is a value of its own; labels of
-unknown documents are left out and repeated ones count as bad if any is; without both kinds of labels (or with fewer than 20)
+unknown documents are left out, repeated ones count as bad if any is, a null quality counts as good and a null toxic as not; without both kinds of labels (or with fewer than 20)
 every score is the prior, 1 if there are none; rows map one to one; other columns are ignored.
 """
 
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .sampling import place, share, smallest
+from .sampling import smallest
 from .store import Scratch
 from .url_filter import tokens as url_tokens
 
-MAX_LABELLED, MAX_POOL, MAX_TERMS = 12_000, 6_000, 4096
+MAX_LABELLED, MAX_TERMS = 12_000, 4096
 MIN_DOCS, MIN_Z = 6, 5.0
 ROUNDS, SURE = 3, 0.98
 #: Scores below are rejected.
@@ -120,24 +122,85 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, cut: np.ndarray, column: np.ndarray, dims: int, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> Logistic:
+@dataclass
+class Bound:
+    """What pseudo-labelled documents add to a loss: near weights ``at`` (the bias last), no more than slope and curvature say."""
+
+    at: np.ndarray
+    slope: np.ndarray
+    curve: np.ndarray
+    n: float
+
+
+def fit(x: np.ndarray, cut: np.ndarray, column: np.ndarray, dims: int, y: np.ndarray, more: Bound | None = None, ridge: float = 1e-3, steps: int = 200) -> Logistic:
     """Ridge logistic regression by Adam over all rows; deterministic."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
     d = x.shape[1]
     owner = np.repeat(np.arange(len(y)), np.diff(cut))
-    w, bias = np.zeros(d + dims), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    m, v = np.zeros(d + dims + 1), np.zeros(d + dims + 1)
+    w = np.zeros(d + dims + 1)
+    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    share = min(1.0, len(y) / more.n) if more else 0.0
+    n = len(y) + (share * more.n if more else 0)
     for k in range(1, steps + 1):
-        s = z @ w[:d] + bias + np.bincount(owner, w[d:][column], len(y))
-        e = (sigmoid(s) - y) / len(y)
+        s = z @ w[:d] + w[-1] + np.bincount(owner, w[d:-1][column], len(y))
+        e = (sigmoid(s) - y) / n
         g = np.concatenate([z.T @ e, np.bincount(column, e[owner], dims), [e.sum()]])
-        g[:-1] += ridge * w / len(y) ** 0.5
+        if more:
+            g += share / n * (more.slope + more.curve * (w - more.at))
+        g[:-1] += ridge * w[:-1] / len(y) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9) * (1 if k < steps // 2 else 0.3)
-        w -= step[:-1]
-        bias -= step[-1]
-    return Logistic(w, float(bias), mean, scale)
+        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9) * (1 if k < steps // 2 else 0.3)
+    return Logistic(w[:-1].copy(), float(w[-1]), mean, scale)
+
+
+def bound_of(model: Logistic, rows: tuple, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature that rows with labels ``y`` add for each weight.
+
+    A row's share of the curvature is spread by the sum of its features, which is never less than the true one.
+    Values are rounded to powers of two, so that sums do not depend on the order of the rows.
+    """
+    x, cut, column = rows
+    z = np.round((x - model.mean) / model.scale * 256) / 256
+    p = sigmoid(model.raw(*rows))
+    e, c = (np.round(v * 2**20) / 2**20 for v in (p - y, np.maximum(p * (1 - p), 0.02)))
+    owner = np.repeat(np.arange(len(y)), np.diff(cut))
+    c = c * np.round(1 + np.diff(cut) + np.abs(z).sum(axis=1))
+    dims = len(model.weights) - x.shape[1]
+    return np.concatenate([z.T @ e, np.bincount(column, e[owner], dims), [e.sum()]]), np.concatenate([np.abs(z).T @ c, np.bincount(column, c[owner], dims), [c.sum()]])
+
+
+def pseudo(pool: DataFrame, models: dict[str, Logistic]) -> dict[str, Bound]:
+    """For each view the bound of all documents in ``pool`` (dense, terms, meta) that the other view is sure of."""
+    held = pool.sparkSession.sparkContext.broadcast(models)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list] = {}
+        for batch in batches:
+            views = {"text": _flat_text(batch.column(0), batch.column(1)), "meta": _flat_meta(batch.column(2))}
+            good = {k: sigmoid(m.calibrated(*views[k])) for k, m in held.value.items()}
+            for k, other in (("text", "meta"), ("meta", "text")):
+                sure = np.flatnonzero((good[other] >= SURE) | (good[other] <= 1 - SURE))
+                if len(sure):
+                    slope, curve = bound_of(held.value[k], _take(views[k], sure), (good[other][sure] >= 0.5).astype(float))
+                    at = own.setdefault(k, [0, 0, 0])
+                    own[k] = [at[0] + slope, at[1] + curve, at[2] + len(sure)]
+        for k, (slope, curve, n) in own.items():
+            i = np.flatnonzero((slope != 0) | (curve != 0))
+            size = len(i) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k] * size), pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(slope[i], n)), pa.array(np.append(curve[i], 0.0))], ["view", "i", "slope", "curve"])
+
+    rows = pool.select("dense", "terms", "meta").mapInArrow(sums, "view string, i int, slope double, curve double")
+    found = rows.groupBy("view", "i").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toArrow().to_pandas()
+    out = {}
+    for k, own in found.groupby("view"):
+        m = models[k]
+        slope, curve = np.zeros(len(m.weights) + 1), np.zeros(len(m.weights) + 1)
+        real = own[own.i >= 0]
+        slope[real.i], curve[real.i] = real.slope, real.curve
+        out[k] = Bound(np.append(m.weights, m.bias), slope, curve, float(own[own.i < 0].slope.sum()))
+    return out
 
 
 def calibrate(model: Logistic, rows: tuple, y: np.ndarray) -> None:
@@ -203,6 +266,12 @@ def _flat_meta(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.zeros((len(lists), 1)), cut, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _flat_text(dense_: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    dense_, terms = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (dense_, terms))
+    cut = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return dense_.flatten().to_numpy(zero_copy_only=False).reshape(-1, DENSE).astype(float), cut, terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _take(rows: tuple, at: np.ndarray) -> tuple:
     x, cut, column = rows
     n = np.diff(cut)[at]
@@ -210,10 +279,6 @@ def _take(rows: tuple, at: np.ndarray) -> tuple:
     return x[at], to, column[np.repeat(cut[at], n) + np.arange(to[-1]) - np.repeat(to[:-1], n)]
 
 
-def _stack(a: tuple, b: tuple) -> tuple:
-    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1][1:] + a[1][-1]]), np.concatenate([a[2], b[2]])
-
-
 @dataclass
 class Model:
     terms: np.ndarray
@@ -234,56 +299,52 @@ class Model:
         return float(np.log(p / (1 - p)))
 
 
-def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
+def featured(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``dense`` and ``terms`` (numbers in ``chosen``) in place of ``text``."""
+    held = rows.sparkSession.sparkContext.broadcast(chosen)
+    other = [c for c in rows.columns if c != "text"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in T.parts(batch.column(0), PART_BYTES):
+                x, cut, column = features(batch.column(0).slice(lo, hi - lo), held.value)
+                terms = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(column.astype(np.int16)))
+                dense_ = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DENSE), pa.array(x.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], dense_, terms], [*other, "dense", "terms"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*other).schema)
+    return rows.select("text", *other).mapInArrow(part, f"{kinds}, dense array<float>, terms array<smallint>")
+
+
+def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    # ids first: the texts of a bounded number of documents are written for the passes below
+    # ids first: the texts of a bounded number of labelled documents are written for the passes below
     scratch = Scratch(docs.sparkSession, "cotrain")
-    n_good, n_docs = good.count(), docs.count()
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    ids = ids.where(place() <= max(share(max_labelled, n_good), share(2 * max_pool, n_docs))).distinct().join(good, "doc_id", "left")
-    picked = smallest(ids.where("good is not null"), max_labelled, n_good).unionByName(smallest(ids.where("good is null"), max_pool, n_docs // 2))
-    picked = picked.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(good, "doc_id")
+    picked = smallest(scratch.write(known, "known"), max_labelled).withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0)
     rows = scratch.write(_with_meta(_own(docs).join(F.broadcast(picked), "doc_id"), pages), "rows")
-    known = rows.where("good is not null")
-    seen = known.agg(F.count("*").alias("n"), F.avg("good").alias("p")).first()
+    seen = rows.agg(F.count("*").alias("n"), F.avg("good").alias("p")).first()
     prior = float(seen["p"]) if seen["n"] else 1.0
     if not 0 < prior < 1 or seen["n"] < 20:
         return Model(np.zeros(0, np.uint64), None, None, prior)
-    chosen = choose_terms(known.where("not held"))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in T.parts(batch.column(1), PART_BYTES):
-                x, cut, column = features(batch.column(1).slice(lo, hi - lo), chosen)
-                own = batch.slice(lo, hi - lo)
-                terms = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(column.astype(np.int16)))
-                dense_ = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DENSE), pa.array(x.ravel().astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(4), dense_, terms], ["doc_id", "meta", "good", "held", "dense", "terms"])
-
-    kinds = "doc_id bigint, meta array<int>, good int, held boolean, dense array<float>, terms array<smallint>"
-    got = rows.select("doc_id", "text", "meta", "good", "held").mapInArrow(part, kinds).toArrow().sort_by("doc_id")
-    scratch.drop("rows")
-    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    cuts = lambda name: np.concatenate([[0], np.cumsum(got[name].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    y = got["good"].fill_null(-1).to_numpy()
-    held = got["held"].to_numpy(zero_copy_only=False).astype(bool)
-    fold, rest = np.flatnonzero((y >= 0) & held), np.flatnonzero((y >= 0) & ~held)
-    views = {"text": ((flat("dense").reshape(-1, DENSE).astype(float), cuts("terms"), flat("terms").astype(np.int64)), len(chosen)), "meta": (_flat_meta(got["meta"]), META_DIMS)}
-
-    pool = np.flatnonzero(y < 0)
-    extra = {k: (np.zeros(0, np.int64), np.zeros(0)) for k in views}
+    chosen = choose_terms(rows.where("not held"))
+    got = featured(rows.select("text", "doc_id", "meta", "good", "held"), chosen).toArrow().sort_by("doc_id")
+    scratch.drop("rows", "known")
+    y, held = got["good"].to_numpy().astype(float), got["held"].to_numpy(zero_copy_only=False).astype(bool)
+    fold, rest = np.flatnonzero(held), np.flatnonzero(~held)
+    views = {"text": (_flat_text(got["dense"], got["terms"]), len(chosen)), "meta": (_flat_meta(got["meta"]), META_DIMS)}
+
+    pool = _with_meta(featured(_own(docs), chosen), pages).join(good.select("doc_id"), "doc_id", "left_anti")
+    pool = scratch.write(pool.select("dense", "terms", "meta"), "pool") if rounds else None
     models: dict[str, Logistic] = {}
+    more: dict[str, Bound] = {}
     for turn in range(rounds + 1):
         for k, (view, dims) in views.items():
-            more, said = extra[k]
-            models[k] = fit(*_stack(_take(view, rest), _take(view, more)), dims, np.concatenate([y[rest].astype(float), said]))
+            models[k] = fit(*_take(view, rest), dims, y[rest], more.get(k))
             calibrate(models[k], _take(view, fold), y[fold])
-        if turn == rounds or not len(pool):
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(models[k].calibrated(*_take(views[k][0], pool)))
-            sure = (p >= SURE) | (p <= 1 - SURE)
-            extra[other] = (pool[sure], (p[sure] >= 0.5).astype(float))
+        if turn < rounds:
+            more = pseudo(pool, models)
+    scratch.drop("pool")
     return Model(chosen, models["text"], models["meta"], prior)
 
 

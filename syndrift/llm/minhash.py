@@ -8,10 +8,13 @@
 2. Equal sets fall together into classes by a 128-bit digest; only one representative of each goes on.
 3. Each band of coordinates is a key.  The smallest representative of a key is tied to its others, which
    takes one row for each member however many share the key; connected, these ties make *families*.
-4. Inside a family all pairs are compared on full sets, so whatever the sketch would estimate, no link between
-   two of its members is lost.  Large families are cut into blocks and compared block against block in separate
-   tasks, which give back a spanning forest of the links, never the pairs.
-5. The forests' components are the near-duplicate groups.
+4. Every member is first compared, on full sets, with the one that it is tied to by most bands and with the one of its
+   family that shares most of its bands with others, as the text that all others are copies of does; most families are
+   then one component, and done.  In the others all pairs of different components are compared, so whatever the sketch would
+   estimate, no link between two members is lost.  Members of a family are cut into blocks, large components apart from
+   the rest and sets of like size together, and blocks meet in separate tasks: not those of one component, nor those whose
+   sizes are too far apart for a link.  Tasks give back a spanning forest of the links, never the pairs.
+5. The components of all these links are the near-duplicate groups.
 
 ``shape`` derives rows and bands from the threshold t: two sets at t miss each other in every band with probability
 (1 - t**rows)**bands, at most ``MISS`` (4.6e-6 at 0.85); even then a third member can bring them into one family.
@@ -40,8 +43,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100
 #: Most coordinates of a sketch, and the chance that two sets at the threshold miss each other in every band.
 COORDINATES, MISS = 560, 5e-6
-#: Members of a block of a family; two blocks meet in one task.
-BLOCK = 128
+#: Members of a block of a family, and bytes of their sets; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Up to so many family members their ids are broadcast (16 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 400_000
 PART_BYTES = 1 << 20
@@ -127,9 +130,9 @@ def sketches(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, deno
     return _narrow(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
-def _apart(keyed: DataFrame) -> DataFrame:
-    """The same rows, no longer known to be dealt by ``a``: a join then deals both sides, and splits a node with many edges."""
-    return keyed.withColumn("a", F.bitwise_not(F.bitwise_not("a")))
+def _apart(keyed: DataFrame, key: str = "a") -> DataFrame:
+    """The same rows, no longer known to be dealt by a key: a join then deals both sides, and splits a key with many rows."""
+    return keyed.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -212,12 +215,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, numerat
     keyed = drawn.where(F.col("n_shingles") >= shape(numerator, denominator)[0]).join(classes, ["d1", "d2"]).where("doc_id = rep")
     reps = scratch.write(keyed.select("rep", F.explode("keys").alias("key")), "keys")
     least = reps.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    ties = reps.join(least, "key").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    family = scratch.write(components(ties, scratch, "ties"), "family")
+    pairs = reps.join(_apart(least, "key"), "key").groupBy(F.col("rep").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
+    pairs = scratch.write(pairs, "pairs")
+    family = scratch.write(components(pairs.select("a", "b"), scratch, "ties"), "family")
     scratch.drop("keys")
 
-    sized = family.join(family.groupBy("component").agg(F.count("*").alias("members")), "component")
-    member = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    member = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     if family.count() <= BROADCAST_ROWS:
         member = F.broadcast(member)
 
@@ -226,19 +229,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, numerat
             for lo, hi in T.parts(batch.column(1), PART_BYTES):
                 part = batch.slice(lo, hi - lo)
                 raw = pa.array([x.tobytes() for x in _sets(part.column(1), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), raw], ["doc_id", "family", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), raw], ["doc_id", "family", "shingles"])
 
-    sets = _narrow(docs).join(member, "doc_id").select("doc_id", "text", "family", "blocks").mapInArrow(full, "doc_id bigint, family bigint, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
-    dealt = sets.dropDuplicates(["doc_id", "shingles"]).select("doc_id", "family", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    sets = _narrow(docs).join(member, "doc_id").select("doc_id", "text", "family").mapInArrow(full, "doc_id bigint, family bigint, shingles binary")
+    sets = scratch.write(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
+    tied = scratch.write(verified(likely(pairs, family), sets, numerator, denominator), "tied")
+    home = scratch.write(components(tied, scratch, "near"), "home")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["doc_id"].to_numpy()
         pairs = forest(links([np.frombuffer(x, U) for x in rows["shingles"]], numerator, denominator))
         return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
 
-    found = dealt.groupBy("family", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    met = dealt(sets, home, numerator / denominator).groupBy("family", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    found = tied.unionByName(scratch.write(met, "met"))
     linked = components(found, scratch, "links")
     group = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "d1", "d2").join(group, ["d1", "d2"], "left")
@@ -246,5 +250,57 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, numerat
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def likely(pairs: DataFrame, family: DataFrame) -> DataFrame:
+    """(a, b): at most two ties of each member, from ``pairs`` (a, b, number of shared bands): the strongest, and that to its family's hub."""
+    best = pairs.where("a != b").groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b")))["b"].alias("b")).select("a", (-F.col("b")).alias("b"))
+    shared = pairs.groupBy("a").agg(F.sum("n").alias("n")).join(family, F.col("a") == F.col("node"))
+    hubs = shared.groupBy("component").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("hub"))
+    to_hub = family.join(_apart(hubs, "component"), "component").select(F.col("node").alias("a"), (-F.col("hub")).alias("b")).where("a != b")
+    return best.unionByName(to_hub).distinct()
+
+
+def verified(ties: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Those of ``ties`` (a, b) whose full sets are linked."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                meet = np.intersect1d(p, q, assume_unique=True).size
+                ok.append(denominator * meet >= numerator * (len(p) + len(q) - meet))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    # the one that many are held against comes to them, each goes to its own place
+    with_b = ties.join(_apart(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b"), "b")
+    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(check, "a bigint, b bigint").distinct()
+
+
+def dealt(sets: DataFrame, home: DataFrame, t: float) -> DataFrame:
+    """family, x, y, doc_id, shingles: the members of every two blocks (x, y) that may have links between components not yet known."""
+    info = sets.select("doc_id", "family", F.length("shingles").alias("size")).join(home.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    info = info.withColumn("component", F.coalesce("component", "doc_id"))
+    parts = info.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    families = parts.groupBy("family").agg(F.sum("n").alias("members"), F.sum("bytes").alias("all"), F.count("*").alias("k")).where("k > 1").drop("k")
+    parts = _apart(parts, "family").join(families, "family")
+    # blocks: of a large component, or of the rest; of sets of like size (two linked sets are at most one step of t apart)
+    few = (F.col("members") <= BLOCK) & (F.col("all") <= BLOCK_BYTES)
+    large = (F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
+    parts = parts.select("family", "component", F.when(large & ~few, F.col("component")).alias("large"), few.alias("few"))
+    step = F.floor(F.log(F.col("size") / 8) / (-math.log(t) * 1.0001))
+    info = info.join(_apart(parts, "component").withColumnRenamed("family", "f"), "component").where("family = f").drop("f").withColumn("step", F.when(F.col("few"), F.lit(0)).otherwise(step).cast("int"))
+    kinds = info.groupBy("family", "large", "step").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    name = lambda i: F.xxhash64("family", "large", "step", i)
+    each = kinds.select("family", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct("large", "step", name(i).alias("name"))).alias("own"))
+    each = each.groupBy("family").agg(F.flatten(F.collect_list("own")).alias("others"))
+    info = info.join(_apart(each, "family"), "family").join(_apart(kinds, "family").withColumnsRenamed({"family": "f", "large": "l", "step": "s"}), (F.col("family") == F.col("f")) & F.col("large").eqNullSafe(F.col("l")) & (F.col("step") == F.col("s")))
+    own = name(F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    near = F.filter("others", lambda o: (F.abs(o["step"] - F.col("step")) <= 1) & F.coalesce(o["large"] != F.col("large"), F.lit(True)))
+    info = info.select("doc_id", "family", own.alias("own"), F.explode(F.transform(near, lambda o: o["name"])).alias("other")).distinct()
+    out = info.join(sets.drop("family"), "doc_id")
+    return out.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles")
+
+
 def report(found: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

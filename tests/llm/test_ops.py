@@ -207,6 +207,40 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert got == {r.doc_id: r.component_id for r in minhash.near_duplicates(df, Scratch(spark, "t")).collect()}
 
 
+def test_family_of_many_members_moves_each_set_a_few_times(spark, monkeypatch):
+    """Copies of one text, each with a word of its own: what is dealt to tasks follows the members, not their pairs."""
+    base, rng, n = [f"b{i}" for i in range(100)], random.Random(4), 20_000
+    hub = 17_345
+    texts = [(i, " ".join(base if i == hub else base[: (at := rng.randrange(100))] + [f"z{i}"] + base[at + 1 :])) for i in range(n)]
+    moved = []
+
+    def counted(*args, own=minhash.dealt):
+        moved.append(own(*args).count())
+        return own(*args)
+
+    monkeypatch.setattr(minhash, "dealt", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), Scratch(spark, "t")).collect()}
+    # every copy is linked with the text itself, so all are one group
+    assert set(got.values()) == {0} and len(got) == n and moved[0] <= 2 * n
+
+
+def test_mixed_family_equals_brute_force(spark, monkeypatch):
+    """A large component, small ones and texts of other lengths that only share bands with it."""
+    rng, base, texts = random.Random(12), [f"b{i}" for i in range(100)], []
+    for i in range(260):
+        w = list(base[: rng.choice([100, 100, 100, 92, 80])])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
+        texts.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = brute.near_groups(texts)
+    assert len(set(want.values())) > 10
+    for block, size in ((512, 4 << 20), (16, 4 << 20), (512, 5000)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, Scratch(spark, "t")).collect()} == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 2000).astype(np.uint64)

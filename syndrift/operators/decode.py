@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +95,9 @@ class UnionFind:
     def decode_batch(self, actives: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Flips and confidences of many windows: edges one by one, all windows at each at once.
 
-        Columns are windows, rows are nodes.  Which root a merged cluster keeps does not matter to the result.
-        Windows in which a pass merged nothing are done and leave the arrays.
+        Columns are windows, rows are nodes.  Which root a merged cluster keeps does not matter to the result.  An edge
+        is only looked at in windows where a cluster with a fired detector has come to one of its ends.  Windows in
+        which a pass merged nothing are done and leave the arrays.
         """
         n, b = self.graph.nodes, len(actives)
         size = np.array([len(a) for a in actives])
@@ -104,7 +105,7 @@ class UnionFind:
         if size.sum():
             odd[np.concatenate(actives), np.repeat(np.arange(b), size)] = True
         home = np.repeat(np.arange(n, dtype=np.int32)[:, None], b, axis=1)
-        live = np.flatnonzero(size)
+        live, reached = np.flatnonzero(size), odd[:, size > 0]
         for _ in range(n):
             k = len(live)
             if k <= FEW:
@@ -115,16 +116,17 @@ class UnionFind:
             up = (home[:, live] * k + np.arange(k, dtype=np.int32)).ravel()
             now, grew = odd[:, live].ravel(), np.zeros(k, bool)
             for u, v in self.edges:
-                a, c = _roots(up, u, k), _roots(up, v, k)
+                near = (reached[u] | reached[v]).nonzero()[0]
+                a, c = _roots(up, near + u * k), _roots(up, near + v * k)
                 odd_a, odd_c = now.take(a), now.take(c)
-                joins = np.flatnonzero((odd_a | odd_c) & (a != c))
+                joins = ((odd_a | odd_c) & (a != c)).nonzero()[0]
                 if len(joins):
-                    at = a.take(joins)
+                    at, windows = a.take(joins), near.take(joins)
                     up[c.take(joins)] = at
                     now[at] = odd_a.take(joins) ^ odd_c.take(joins)
-                    grew[joins] = True
+                    grew[windows] = reached[u, windows] = reached[v, windows] = True
             home[:, live], odd[:, live] = up.reshape(n, k) // k, now.reshape(n, k)
-            live = live[grew]
+            live, reached = live[grew], reached[:, grew]
         while True:
             above = np.take_along_axis(home, home, axis=0)
             if np.array_equal(above, home):
@@ -137,14 +139,16 @@ class UnionFind:
         return flips, np.where(size > 0, 0.9, 1.0)
 
 
-def _roots(up: np.ndarray, node: int, k: int) -> np.ndarray:
-    """Places of the roots of a node in every column; the node then hangs directly below them."""
-    at = up[node * k : node * k + k]
+def _roots(up: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Places of the roots of nodes at places of their own; these then hang directly below them."""
+    at = up.take(nodes)
     above = up.take(at)
-    while not np.array_equal(above, at):
+    if (above == at).all():
+        return at
+    while not (above == at).all():
         at, above = above, up.take(above)
-        up[node * k : node * k + k] = at
-    return above
+    up[nodes] = at
+    return at
 
 
 class Matching:
@@ -315,34 +319,45 @@ def register(name: str, make: Callable[[Graph | None], Decoder]) -> None:
 
 
 def decoded(windows: DataFrame, decoder: str | Callable[[], Decoder], graph: Graph | None = None) -> DataFrame:
-    """Adds observable_flips, confidence and corrections to windows with ``active``.
+    """Adds observable_flips and confidence to windows with ``active``.
 
     A decoder whose ``quiet`` is None, as a trained model, is asked once for the empty set; others are not asked where
     nothing fired.  A null ``active`` is no window to decode: 0 flips, confidence 1.
+
+    Distinct sets meet their windows by a digest of 128 bits.  Windows with nothing fired, mostly the most, meet nothing
+    and are spread at random, so they make no hot key.
     """
     if decoder == "null":
         return windows.withColumns({"observable_flips": F.lit(0).cast("bigint"), "confidence": F.lit(1.0)})
     make = (lambda: DECODERS[decoder](graph)) if isinstance(decoder, str) else decoder
     one = make()
     quiet = getattr(one, "quiet", (0, 1.0))
+    flips, confidence = (0, 1.0) if quiet is None else quiet
+    if quiet is None:
+        flips, confidence = one.decode(np.zeros(0, np.int64))
+        flips = int(np.uint64(flips).view(np.int64))
     held = windows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(one))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cloudpickle.loads(held.value)
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                part = batch["active"].iloc[at : at + BATCH]
-                sets = [np.asarray(a, np.int64) for a in part]
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                lists = part.column(2)
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                sets = np.split(lists.flatten().to_numpy().astype(np.int64), ends[:-1])
                 if hasattr(own, "decode_batch"):
                     flips, confidence = own.decode_batch(sets)
                 else:
                     found = [own.decode(a) for a in sets]
                     flips, confidence = np.array([f for f, _ in found], np.uint64), [c for _, c in found]
-                yield pd.DataFrame({"active": part.to_numpy(), "observable_flips": flips.view(np.int64), "confidence": confidence})
-
-    fired = "active is not null" if quiet is None else "size(active) > 0"
-    distinct = windows.select("active").where(fired).distinct()
-    said = distinct.mapInPandas(run, "active array<int>, observable_flips bigint, confidence double")
-    out = windows.join(said, "active", "left")
-    flips, confidence = quiet or (0, 1.0)
-    return out.withColumns({"observable_flips": F.coalesce("observable_flips", F.lit(flips).cast("bigint")), "confidence": F.coalesce("confidence", F.lit(confidence))})
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(flips.view(np.int64)), pa.array(confidence, pa.float64())], ["_k", "_j", "_flips", "_confidence"])
+
+    fired = F.size("active") > 0
+    keyed = windows.withColumns({"_k": F.when(fired, F.xxhash64("active")).otherwise((F.rand(7) * 2**62).cast("bigint")), "_j": F.when(fired, F.xxhash64(F.lit(1), "active"))})
+    distinct = keyed.where(fired).select("_k", "_j", F.col("active").cast("array<int>").alias("active")).distinct()
+    said = distinct.mapInArrow(run, "_k bigint, _j bigint, _flips bigint, _confidence double")
+    out = keyed.join(said, ["_k", "_j"], "left")
+    none = F.col("active").isNull()
+    rest = lambda c, value: F.coalesce(c, F.when(none, F.lit(0 if c == "_flips" else 1.0)).otherwise(F.lit(value)))
+    return out.withColumns({"observable_flips": rest("_flips", flips).cast("bigint"), "confidence": rest("_confidence", confidence).cast("double")}).drop("_k", "_j", "_flips", "_confidence")

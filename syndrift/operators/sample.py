@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,39 +49,74 @@ def sample(spark: SparkSession, errors: DataFrame, shots: int, seed: int = 42) -
 
 
 class Sampler:
-    """Bernoulli thresholds and masks of a model, for many shots at once."""
+    """Errors of a model and what they flip, for many shots at once.
+
+    Errors are rare, so what is drawn is not every error in every shot but the gaps between the shots in which an error
+    fires: geometric, which is the same as independent draws.
+    """
 
     def __init__(self, model: ErrorModel):
         self.detectors, self.observables = model.detector_count, model.observable_count
-        self.p = np.array([p for p, _, _ in model.errors])
-        self.hits = np.zeros((len(model.errors), self.detectors), np.uint8)
-        self.mask = np.zeros((len(model.errors), 64), np.uint8)
-        for i, (_, ds, os) in enumerate(model.errors):
-            for d in ds:
-                self.hits[i, d] ^= 1
-            self.mask[i, [o & 63 for o in os]] = 1
+        real = [(p, ds, [o & 63 for o in os]) for p, ds, os in model.errors if p > 0]
+        self.p = np.array([min(p, 1.0) for p, _, _ in real])
+        self.hits = self._rows([ds for _, ds, _ in real])
+        self.mask = self._rows([os for _, _, os in real])
+
+    @staticmethod
+    def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and values of lists that lie end to end."""
+        return np.cumsum([0, *map(len, lists)]), np.array([x for own in lists for x in own], np.int64)
+
+    def fires(self, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(shot, error) of everything that fires in n shots."""
+        if not len(self.p):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        most = self.p.max()
+        width = int(n * most + 6 * (n * most) ** 0.5) + 8
+        at, last = [], np.full(len(self.p), -1, np.int64)
+        while (last < n).any():
+            # a gap may exceed any number; longer ones than n end the row alike
+            gaps = np.minimum(rng.geometric(self.p[:, None], (len(self.p), width)), n + 1)
+            at.append(last[:, None] + np.cumsum(gaps, axis=1))
+            last = at[-1][:, -1]
+        shots = np.concatenate(at, axis=1)
+        error, k = np.nonzero(shots < n)
+        return shots[error, k], error
+
+    @staticmethod
+    def _parity(shot: np.ndarray, error: np.ndarray, rows: tuple[np.ndarray, np.ndarray], n: int, width: int) -> np.ndarray:
+        """n x width: whether what fires names a place an odd number of times."""
+        ends, values = rows
+        many = ends[error + 1] - ends[error]
+        upto = np.cumsum(many)
+        which = values[np.repeat(ends[error] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        return (np.bincount(np.repeat(shot, many) * width + which, minlength=n * width) & 1).astype(bool).reshape(n, width)
 
     def draw(self, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """(shots x detectors, 64-bit masks)."""
-        fired = (rng.random((n, len(self.p))) < self.p).astype(np.float32)
-        events = (fired @ self.hits.astype(np.float32)).astype(np.int64) & 1
-        flips = (fired @ self.mask.astype(np.float32)).astype(np.int64) & 1
-        return events.astype(bool), (flips.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        shot, error = self.fires(n, rng)
+        events = self._parity(shot, error, self.hits, n, max(self.detectors, 1))[:, : self.detectors]
+        width = min(max(self.observables, 1), 64)
+        flips = self._parity(shot, error, self.mask, n, width).astype(np.uint64)
+        return events, (flips << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def sample_fast(spark: SparkSession, model: ErrorModel, shots: int, seed: int = 42, block: int = 4096) -> DataFrame:
-    """shot, active, observable_flips by matrix products; every block of shots has a generator of its own."""
+    """shot, active, observable_flips; every block of shots has a generator of its own."""
     held = spark.sparkContext.broadcast(Sampler(model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch["id"]:
+            for b in batch.column(0).to_pylist():
                 n = min(block, shots - b * block)
-                events, flips = held.value.draw(n, np.random.default_rng([seed, int(b)]))
-                yield pd.DataFrame({"shot": np.arange(n) + b * block, "active": [np.flatnonzero(e).astype(np.int32) for e in events], "observable_flips": flips.view(np.int64)})
+                events, flips = held.value.draw(n, np.random.default_rng([seed, b]))
+                shot, detector = np.nonzero(events)
+                ends = np.searchsorted(shot, np.arange(n + 1)).astype(np.int32)
+                active = pa.ListArray.from_arrays(pa.array(ends), pa.array(detector.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + b * block), active, pa.array(flips.view(np.int64))], ["shot", "active", "observable_flips"])
 
     blocks = -(-shots // block)
-    return spark.range(0, blocks, 1, max(1, min(blocks, 8 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "shot bigint, active array<int>, observable_flips bigint")
+    return spark.range(0, blocks, 1, max(1, min(blocks, 8 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "shot bigint, active array<int>, observable_flips bigint")
 
 
 @dataclass(frozen=True)

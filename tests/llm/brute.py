@@ -57,9 +57,9 @@ def shingles(text: str | None) -> set[tuple]:
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-def near_groups(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+def near_groups(rows: list[tuple[int, str | None]], numerator: int = 85) -> dict[int, int]:
     own = [(i, shingles(t)) for i, t in rows]
-    links = {(a, b) for a, x in own for b, y in own if a < b and x and 100 * len(x & y) >= 85 * len(x | y)}
+    links = {(a, b) for a, x in own for b, y in own if a < b and x and 100 * len(x & y) >= numerator * len(x | y)}
     return components(links, {i for i, _ in own})
 
 

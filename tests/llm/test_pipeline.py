@@ -57,7 +57,7 @@ def test_stages(spark):
     labels, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "pages"))
     scored = cotrain.score(docs, cotrain.train(docs, labels, pages), pages)
     assert set(rows[1]) == {r.doc_id for r in scored.collect() if r.kept}
-    groups = brute.near_groups([(i, r.text) for i, r in rows[1].items()])
+    groups = brute.near_groups([(i, r.text) for i, r in rows[1].items()], 80)
     assert set(rows[2]) == {i for i, g in groups.items() if i == g}
     verdict = brute.contamination([(i, r.text) for i, r in rows[2].items()], bench)
     assert set(rows[3]) == {i for i, v in verdict.items() if not v[4]} and len(rows[3]) < len(rows[2])

@@ -90,16 +90,25 @@ def nearest_rank(values: DataFrame, column: str, percent: int) -> DataFrame:
     return values.agg(F.coalesce(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column})"), F.lit(0)).cast(kind).alias("value"))
 
 
+#: Ranges of values in which ranks are counted.
+RANGES = 1000
+
+
 def floor_rank(values: DataFrame, column: str, percent: int) -> DataFrame:
     """The value at place floor(n p / 100) from 0, the last at most.
 
-    Places come from counts by value, so what is sorted in one task is the distinct values, not the rows.
+    Places come from counts by value, summed first by range of values and then inside ranges, so no task sorts all
+    distinct values.
     """
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n").alias("all"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+    whole = counts.agg(F.sum("n").alias("all"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("v").cast("double") - F.col("low"), F.col("high") - F.col("low")) * RANGES), F.when(F.col("v").isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    counts = counts.join(F.broadcast(whole)).withColumn("place", place)
+    ranges = counts.groupBy("place").agg(F.sum("n").alias("own"))
+    ranges = ranges.select("place", (F.sum("own").over(Window.orderBy("place")) - F.col("own")).alias("ahead"))
+    upto = counts.join(F.broadcast(ranges), "place").withColumn("upto", F.col("ahead") + F.sum("n").over(Window.partitionBy("place").orderBy("v")))
     at = F.least(F.floor(F.col("all") * percent / 100), F.col("all") - 1)
-    return upto.join(F.broadcast(n)).where(F.col("upto") > at).agg(F.coalesce(F.min("v"), F.lit(0)).alias("value"))
+    return upto.where(F.col("upto") > at).agg(F.coalesce(F.min("v"), F.lit(0)).alias("value"))
 
 
 def latency(rows: DataFrame, column: str = "latency_ns") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blossoms import heaviest
 from .graph import Graph
 
 
@@ -154,11 +155,13 @@ def _roots(up: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 class Matching:
     """Exact minimum-weight matching of fired detectors along shortest paths, each with another or the boundary.
 
-    Weights are scaled by a million and rounded, odd ones up.  Up to ``EXACT`` detectors of a connected part are
-    matched over all pairings, more by greedy pairs improved two by two.
+    Weights are scaled by a million and rounded, odd ones up.  Connected parts are matched one by one: over all pairings
+    up to ``EXACT`` detectors, by blossoms beyond; both give a least cost, but may choose differently among equal ones.
     """
 
     EXACT = 16
+    #: Cost of a way that does not exist.
+    FAR = 1 << 50
 
     quiet = (0, 1.0)
 
@@ -191,13 +194,20 @@ class Matching:
         return self.paths[start]
 
     def decode(self, active: np.ndarray) -> tuple[int, float]:
-        fired = active.tolist()
-        if not fired:
-            return 0, 1.0
+        flips = 0
+        for cost, i, j in self._pairs(active.tolist()):
+            flips ^= cost(i, j)[1]
+        return flips, 1.0
+
+    def weight(self, active: np.ndarray) -> int:
+        """Scaled cost of the matching."""
+        return sum(cost(i, j)[0] for cost, i, j in self._pairs(active.tolist()))
+
+    def _pairs(self, fired: list[int]) -> Iterator[tuple[Callable, int, int | None]]:
+        """Places that are matched with each other, or with the boundary (None), and the cost function."""
         edge = self.graph.detectors
-        far = 1 << 60
-        cost = lambda i, j: self.shortest(fired[i]).get(edge if j is None else fired[j], (far, 0))
-        left, flips = set(range(len(fired))), 0
+        cost = lambda i, j: self.shortest(fired[i]).get(edge if j is None else fired[j], (self.FAR, 0))
+        left = set(range(len(fired)))
         while left:
             part, todo = [], [min(left)]
             while todo:
@@ -207,60 +217,40 @@ class Matching:
                     part.append(i)
                     todo += [j for j in left if cost(i, j)[0] < cost(i, None)[0] + cost(j, None)[0]]
             part.sort()
-            flips ^= self._exact(part, cost) if len(part) <= self.EXACT else self._greedy(part, cost)
-        return flips, 1.0
+            for i, j in self._all_pairings(part, cost) if len(part) <= self.EXACT else self._blossoms(part, cost):
+                yield cost, i, j
 
     @staticmethod
-    def _exact(part: list[int], cost: Callable) -> int:
-        best: dict[int, tuple[int, int]] = {0: (0, 0)}
+    def _all_pairings(part: list[int], cost: Callable) -> list[tuple[int, int | None]]:
+        best: dict[int, tuple[int, tuple | None]] = {0: (0, None)}
         whole = (1 << len(part)) - 1
         for done in range(whole):
             if done not in best:
                 continue
-            c, mask = best[done]
+            c = best[done][0]
             i = next(k for k in range(len(part)) if not done >> k & 1)
             for k in [None, *range(i + 1, len(part))]:
                 if k is not None and done >> k & 1:
                     continue
-                w, m = cost(part[i], None if k is None else part[k])
+                w = cost(part[i], None if k is None else part[k])[0]
                 to = done | 1 << i | (0 if k is None else 1 << k)
                 if to not in best or c + w < best[to][0]:
-                    best[to] = c + w, mask ^ m
-        return best[whole][1]
+                    best[to] = c + w, (done, part[i], None if k is None else part[k])
+        pairs, at = [], whole
+        while best[at][1]:
+            at, i, j = best[at][1]
+            pairs.append((i, j))
+        return pairs
 
     @staticmethod
-    def _greedy(part: list[int], cost: Callable) -> int:
-        options = sorted((cost(i, j)[0] - cost(i, None)[0] - cost(j, None)[0], i, j) for k, i in enumerate(part) for j in part[k + 1 :])
-        mate: dict[int, int | None] = {}
-        for gain, i, j in options:
-            if gain < 0 and i not in mate and j not in mate:
-                mate[i], mate[j] = j, i
-        pairs = [(i, mate.get(i)) for i in part if mate.get(i) is None or i < mate[i]]
-        better = True
-        while better:
-            better = False
-            for x in range(len(pairs)):
-                for y in range(x):
-                    (a, b), (c, d) = pairs[x], pairs[y]
-                    for p, q in (((a, c), (b, d)), ((a, d), (b, c))):
-                        new = [r for r in (p, q) if r != (None, None)]
-                        if any(r[0] is None for r in new):
-                            new = [(r[1], None) if r[0] is None else r for r in new]
-                        if sum(cost(*r)[0] for r in new) < cost(a, b)[0] + cost(c, d)[0]:
-                            pairs[x] = new[0]
-                            pairs[y] = new[1] if len(new) > 1 else pairs[y]
-                            if len(new) == 1:
-                                del pairs[y]
-                            better = True
-                            break
-                    if better:
-                        break
-                if better:
-                    break
-        flips = 0
-        for i, j in pairs:
-            flips ^= cost(i, j)[1]
-        return flips
+    def _blossoms(part: list[int], cost: Callable) -> list[tuple[int, int | None]]:
+        """What a pair saves against two ways to the boundary is its weight; those left go to the boundary."""
+        saved = np.zeros((len(part), len(part)), np.int64)
+        for x, i in enumerate(part):
+            for y, j in enumerate(part[:x]):
+                saved[x, y] = saved[y, x] = cost(i, None)[0] + cost(j, None)[0] - cost(i, j)[0]
+        mate = heaviest(saved)
+        return [(i, None if m < 0 else part[m]) for x, (i, m) in enumerate(zip(part, mate, strict=True)) if m < 0 or m > x]
 
 
 class Neural:

@@ -410,9 +410,9 @@ def _first_bit(x):
     return [0.25 + 0.5 * x[0]]
 
 
-@query("neural_decoder", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(syndrome & 1 AS BIGINT) AS observable_flips, 0.75::DOUBLE AS confidence FROM f WHERE syndrome <> 0")
+@query("neural_decoder", f"WITH {FRAMES_SQL} SELECT frame_id, CAST(syndrome & 1 AS BIGINT) AS observable_flips, 0.75::DOUBLE AS confidence FROM f")
 def neural_decoder(spark, sf):
-    return decode.decoded(syndromes(spark, sf).where("syndrome <> 0"), lambda: decode.Neural(_first_bit, 3)).select("frame_id", "observable_flips", F.round("confidence", 9).alias("confidence"))
+    return decode.decoded(syndromes(spark, sf), lambda: decode.Neural(_first_bit, 3)).select("frame_id", "observable_flips", F.round("confidence", 9).alias("confidence"))
 
 
 _U = "CAST(CAST('0x' || left(md5('42:' || shot || ':' || seq), 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"

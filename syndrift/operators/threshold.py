@@ -130,7 +130,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path) if path.rstrip("/").endswith(".json") else read_csv(spark, path)
 
 
-def write_svg(points: DataFrame, path: str, width: int = 640, height: int = 420) -> None:
+def svg(points: DataFrame, width: int = 640, height: int = 420) -> str:
     """A log-log plot with a line for each distance; the points of a sweep are few."""
     import math
 
@@ -141,5 +141,9 @@ def write_svg(points: DataFrame, path: str, width: int = 640, height: int = 420)
     for r, x, y in zip(rows, lx, ly, strict=False):
         lines.setdefault(r.distance, []).append(f"{scale(x, min(lx), max(lx), 60, width - 20):.1f},{scale(y, min(ly), max(ly), height - 40, 20):.1f}")
     body = "".join(f'<polyline fill="none" stroke="hsl({k * 67 % 360},70%,40%)" points="{" ".join(pts)}"><title>d={d}</title></polyline>' for k, (d, pts) in enumerate(lines.items()))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{body}<text x="60" y="{height - 10}">physical error rate</text></svg>\n'
+
+
+def write_svg(points: DataFrame, path: str, width: int = 640, height: int = 420) -> None:
     with open(path, "w") as out:
-        out.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{body}<text x="60" y="{height - 10}">physical error rate</text></svg>\n')
+        out.write(svg(points, width, height))

@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, codes
 from ..operators import decode, diagnostics, graph, metrics, sample, threshold, validate, windows
 from ..sources import dem, frames as wireframes, hardware, shots
 from ..streaming import stateful
+from .registry import QUERIES, SQL, query
 from .tables import ANCILLAS, DEPTH, FRAMES_SQL, MIXED, MODULUS, POINTS_SQL, REPETITION, events, frames, model, points, rounded, syndromes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 FIRED = "list_filter(range(24), lambda i: events[i + 1])"
 WEIGHT = "len(list_filter(events, lambda e: e))"
 
@@ -592,3 +578,30 @@ def streaming_windows(spark, sf):
 def streaming_rates(spark, sf):
     rows = _stream(spark, sf, ["stream_id", "ground_truth"]).withColumn("observable_flips", F.lit(0).cast("bigint"))
     return stateful.drain(stateful.running_rates(rows), "complete")
+
+
+def _sink(at: str, name: str):
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/{name}/batch={n}")
+
+
+@query("streaming_fan_out", "SELECT sink, count(*) AS frames, CAST(sum(event_id) AS BIGINT) AS total FROM events, (VALUES ('a'), ('b')) s(sink) GROUP BY 1")
+def streaming_fan_out(spark, sf):
+    from ..session import shared_dir
+
+    at = f"{shared_dir(spark)}/syndrift/fan-{uuid.uuid4().hex}"
+    out = stateful.fan_out(_stream(spark, sf, ["stream_id", "frame_id"]), [_sink(at, "a"), _sink(at, "b")])
+    out.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    both = [spark.read.parquet(f"{at}/{name}").withColumn("sink", F.lit(name)) for name in "ab"]
+    return both[0].unionByName(both[1]).groupBy("sink").agg(F.count("*").alias("frames"), F.sum("frame_id").alias("total"))
+
+
+@query("replayed_frames", "SELECT user_id, event_id, event_type FROM events")
+def replayed_frames(spark, sf):
+    from ..session import shared_dir
+
+    at = f"{shared_dir(spark)}/syndrift/replay-{uuid.uuid4().hex}"
+    stateful.replay(spark, f"{sf}/events.parquet*", events(spark, sf).schema, _sink(at, "rows")).awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select("user_id", "event_id", "event_type")
+
+
+from . import formats  # noqa: E402, F401

@@ -90,15 +90,37 @@ def _struct(v, kind: pa.DataType):
 
 def read(spark: SparkSession, path: str, mode: str = "permissive", terminator: str = "header", ordered: bool = True, pattern: str = "*") -> DataFrame:
     """All frames below ``path``, one task for each file; compressed recordings are found by their first bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return parse(files, mode, terminator, ordered)
+
+
+def parse(files: DataFrame, mode: str = "permissive", terminator: str = "header", ordered: bool = True) -> DataFrame:
+    """All frames of recordings in ``content``; ``path`` becomes the stream.  A recording without content is none."""
     schema = arrow_schema(StructType.fromDDL(SCHEMA))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
             for i in range(part.num_rows):
-                yield from batches(decode(part.column(0)[i].as_py(), part.column(1)[i].as_py(), mode, terminator, ordered), schema)
+                yield from decode(part.column(0)[i].as_py(), part.column(1)[i].as_py(), mode, terminator, ordered)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(found(parts), schema)
+
+    return files.where("content is not null").select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
+
+
+def messages(frames: DataFrame, schema_id: str = wire.NO_SCHEMA, terminator: str = "header", compression_level: int | None = None) -> DataFrame:
+    """path (the stream), frame_id and content: every frame as a recording of its own, as message queues carry them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = wire.file_header(schema_id)
+        for part in parts:
+            rows = part.to_pylist()
+            own = [to_frame(r) for r in rows]
+            data = [wire.record([f], compression_level, terminator, schema_id) if compression_level else head + wire.encode_frame(f, terminator) for f in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r["stream_id"] for r in rows], pa.string()), part.column("frame_id").cast(pa.int64()), pa.array(data, pa.binary())], ["path", "frame_id", "content"])
 
-    return files.mapInArrow(run, SCHEMA)
+    return frames.withColumns({"stream_id": F.col("stream_id").cast("string"), "frame_id": F.col("frame_id").cast("bigint")}).mapInArrow(run, "path string, frame_id bigint, content binary")
 
 
 def good(frames: DataFrame) -> DataFrame:

@@ -128,17 +128,42 @@ def decode_ssds(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return x, np.frombuffer(data, "<u8", shots, SSDS.size + shots * detectors), observables
 
 
+def ssds_blocks(drawn: DataFrame, detectors: int, observables: int, size: int = 10_000) -> DataFrame:
+    """block and content: a dataset for every ``size`` shots of (shot, active, observable_flips), in the order of shots.
+
+    A shot that is missing inside a block is left out, so numbers stay right only without gaps.
+    """
+
+    def run(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("shot")
+        x = np.zeros((len(rows), detectors), np.uint8)
+        x[np.repeat(np.arange(len(rows)), rows["active"].map(len)), np.concatenate([np.zeros(0, int), *rows["active"]]).astype(int)] = 1
+        data = encode_ssds(x, rows["observable_flips"].to_numpy(np.int64).view(np.uint64), observables)
+        return pd.DataFrame({"block": rows["_block"].iloc[:1], "content": [data]})
+
+    own = drawn.select("shot", "active", "observable_flips", F.floor(F.col("shot") / size).alias("_block"))
+    return own.groupBy("_block").applyInPandas(run, "block bigint, content binary")
+
+
 def read_ssds(spark: SparkSession, path: str) -> DataFrame:
     """shot, events, observable_flips of every dataset file below ``path``."""
+    return parse_ssds(spark.read.format("binaryFile").load(path)).drop("block")
+
+
+def parse_ssds(files: DataFrame) -> DataFrame:
+    """block (null without such a column), shot (its number in the block), events, observable_flips of datasets in ``content``."""
+    block = F.col("block").cast("bigint") if "block" in files.columns else F.lit(None).cast("bigint")
 
-    def run(frames: Iterator) -> Iterator:
+    def run(parts: Iterator) -> Iterator:
         import pandas as pd
 
-        for frame in frames:
-            for data in frame["content"]:
+        for part in parts:
+            for block, data in zip(part["block"], part["content"], strict=True):
                 x, y, _ = decode_ssds(data)
                 for at in range(0, len(x), 4096):
-                    part = slice(at, at + 4096)
-                    yield pd.DataFrame({"shot": np.arange(len(x))[part], "events": list(x[part].astype(bool)), "observable_flips": y[part].astype(np.int64)})
+                    own = slice(at, at + 4096)
+                    yield pd.DataFrame({"block": block, "shot": np.arange(len(x))[own], "events": list(x[own].astype(bool)), "observable_flips": y[own].astype(np.int64)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "shot bigint, events array<boolean>, observable_flips bigint")
+    return files.select(block.alias("block"), "content").mapInPandas(run, "block bigint, shot bigint, events array<boolean>, observable_flips bigint")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from .operators import decode, metrics, sample, threshold, windows
+from .operators import decode, metrics, plugins, sample, threshold, windows
 from .operators.graph import Graph
 from .session import session
 from .sources import dem, frames, hardware, shots, wire
+from .streaming import server
 
 
 def _model(path: str) -> dem.ErrorModel:
@@ -86,8 +89,6 @@ def dataset(a) -> int:
     if not a.out.endswith(".ssds"):
         drawn.write.mode("overwrite").parquet(a.out)
         return 0
-    import numpy as np
-
     rows = drawn.orderBy("shot").toLocalIterator(prefetchPartitions=True)
     x, y = np.zeros((a.shots, model.detector_count), np.uint8), np.zeros(a.shots, np.uint64)
     for r in rows:
@@ -98,16 +99,36 @@ def dataset(a) -> int:
     return 0
 
 
+def _sampler(a):
+    """Of an error model, or of a circuit that an external program samples."""
+    if bool(a.dem) == bool(a.circuit):
+        raise SystemExit("either --dem or --circuit is needed")
+    if a.dem:
+        return sample.Sampler(_model(a.dem))
+    with open(a.circuit) as f:
+        return plugins.Circuit(a.program, f.read())
+
+
 def simulate(a) -> int:
-    model = _model(a.dem)
+    sampler = _sampler(a)
     spark = session("simulate")
-    n = model.detector_count
-    drawn = sample.sample_fast(spark, model, a.shots, a.seed)
-    events = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains("active", i))
+    n = sampler.detectors if a.dem else sampler.draw(1, np.random.default_rng(a.seed))[0].shape[1]
+    drawn = sample.sample_with(spark, sampler, a.shots, a.seed)
+    events = F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, n), lambda i: F.array_contains("active", i))
     frames.write(drawn.select(F.col("shot").alias("frame_id"), events.alias("events"), "observable_flips"), a.out)
     return 0
 
 
+def serve(a) -> int:
+    """Frames for every client that connects, until interrupted."""
+    with server.serve(_sampler(a), a.shots, a.host, a.port, a.seed, a.rate) as running:
+        print(running.address, flush=True)
+        try:
+            threading.Event().wait()
+        except KeyboardInterrupt:
+            return 0
+
+
 def ldpc(a) -> int:
     code = hardware.PRESETS[a.preset] if a.preset else hardware.Bicycle(a.l, a.m, hardware.parse_poly(a.poly_a), hardware.parse_poly(a.poly_b), a.distance, a.k)
     text = json.dumps(hardware.from_bicycle(code, a.name or (a.preset or "custom")), indent=2 if a.pretty else None)
@@ -135,7 +156,9 @@ def main(argv: list[str] | None = None) -> int:
     command("compare", compare, input=many, label={"nargs": "*"}, plot={}, out={})
     command("convert", convert, kind={"choices": ["text", "qiskit", "cirq"], "default": "text"}, input={"required": True}, observables={}, register={"default": "meas"}, observable_register={}, schema_id={"default": wire.NO_SCHEMA}, out={"required": True})
     command("dataset", dataset, dem={"required": True}, shots={"type": int, "default": 100_000}, seed={"type": int, "default": 42}, out={"required": True})
-    command("simulate", simulate, dem={"required": True}, shots={"type": int, "default": 10_000}, seed={"type": int, "default": 42}, out={"required": True})
+    circuit = {"dem": {}, "circuit": {}, "program": {"default": "stim"}}
+    command("serve", serve, **circuit, shots={"type": int, "default": 10_000}, seed={"type": int}, host={"default": "127.0.0.1"}, port={"type": int, "default": 9000}, rate={"type": float})
+    command("simulate", simulate, **circuit, shots={"type": int, "default": 10_000}, seed={"type": int, "default": 42}, out={"required": True})
     command("ldpc", ldpc, preset={"choices": sorted(hardware.PRESETS)}, l={"type": int}, m={"type": int}, poly_a={}, poly_b={}, distance={"type": int, "default": 0}, k={"type": int, "default": 0}, name={}, out={}, pretty=flag)
     a = top.parse_args(argv)
     return a.run(a)

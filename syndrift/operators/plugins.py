@@ -94,4 +94,29 @@ class Program(External):
             return np.unpackbits(np.frombuffer(Path(at, "out.b8").read_bytes(), np.uint8), bitorder="little")[:observables]
 
 
+class Circuit:
+    """Shots of a circuit from an external simulator with the usual ``detect`` command and lines of 0 and 1.
+
+    ``draw`` has the form of ``sample.Sampler.draw``, so circuits can be sampled, written to files and served.
+    """
+
+    def __init__(self, command: str, text: str, timeout: float = 600):
+        self.command, self.text, self.timeout = command, text, timeout
+
+    @staticmethod
+    def _lines(path: Path, n: int) -> np.ndarray:
+        lines = path.read_text().split("\n")[:n]
+        if len(lines) < n or len(set(map(len, lines))) > 1:
+            raise ValueError(f"{path.name}: {n} lines of one length were asked for")
+        return np.array([[c == "1" for c in line] for line in lines], bool).reshape(n, -1)
+
+    def draw(self, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        with tempfile.TemporaryDirectory() as at:
+            Path(at, "circuit").write_text(self.text)
+            seed = str(int(rng.integers(1 << 62)))
+            subprocess.run([self.command, "detect", "--shots", str(n), "--seed", seed, "--in", f"{at}/circuit", "--out", f"{at}/out", "--out_format", "01", "--obs_out", f"{at}/obs", "--obs_out_format", "01"], check=True, timeout=self.timeout)
+            flips = self._lines(Path(at, "obs"), n)[:, :64].astype(np.uint64)
+            return self._lines(Path(at, "out"), n), (flips << np.arange(flips.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 DECODERS["pymatching"] = PyMatching

@@ -103,7 +103,12 @@ class Sampler:
 
 def sample_fast(spark: SparkSession, model: ErrorModel, shots: int, seed: int = 42, block: int = 4096) -> DataFrame:
     """shot, active, observable_flips; every block of shots has a generator of its own."""
-    held = spark.sparkContext.broadcast(Sampler(model))
+    return sample_with(spark, Sampler(model), shots, seed, block)
+
+
+def sample_with(spark: SparkSession, sampler, shots: int, seed: int = 42, block: int = 4096) -> DataFrame:
+    """The same for any object with ``draw(n, rng) -> (shots x detectors, 64-bit masks)``, such as ``plugins.Circuit``."""
+    held = spark.sparkContext.broadcast(sampler)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,9 @@ folder as a stream, reading a socket and writing one file for each partition.
 
 from __future__ import annotations
 
+import itertools
 import socket
+import threading
 from collections.abc import Iterator
 from dataclasses import replace
 from urllib.parse import urlparse
@@ -179,6 +181,19 @@ class _Writer(DataSourceWriter):
                 store.delete_file(m.name)
 
 
+def received(address: str, options: dict) -> Iterator[tuple]:
+    """Rows of the frames of tcp://host:port, each as soon as it is there; a violation ends them as in ``decode``."""
+    u, schema = urlparse(address), None
+    with socket.create_connection((u.hostname, u.port), float(options.get("timeout", 30))) as s, s.makefile("rb") as f:
+        try:
+            for schema, frame in wire.read_stream(f, options.get("terminator", "header"), options.get("ordered", "true") == "true"):
+                yield row(address, schema, frame)
+        except wire.FrameError as e:
+            if options.get("mode") == "failfast":
+                raise
+            yield broken(address, schema, e)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -199,15 +214,13 @@ class _Reader(DataSourceReader):
         if at is None:
             return
         if isinstance(at, str):
-            u = urlparse(at)
-            with socket.create_connection((u.hostname, u.port), float(o.get("timeout", 30))) as s:
-                data, name = b"".join(iter(lambda: s.recv(1 << 16), b"")), at
-        else:
-            from pyarrow import fs
-
-            store, _ = fs.FileSystem.from_uri(at[0] if "://" in at[0] else f"file://{at[0]}")
-            with store.open_input_stream(at[1]) as f:
-                data, name = f.read(), at[1]
+            yield from itertools.islice(received(at, o), int(o["maxframes"]) if "maxframes" in o else None)
+            return
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(at[0] if "://" in at[0] else f"file://{at[0]}")
+        with store.open_input_stream(at[1]) as f:
+            data, name = f.read(), at[1]
         yield from decode(name, data, o.get("mode", "permissive"), o.get("terminator", "header"), o.get("ordered", "true") == "true")
 
 
@@ -258,8 +271,64 @@ class _Tail(SimpleDataSourceStreamReader):
         return iter(self._new(start, end)[0])
 
 
+class _Feed(SimpleDataSourceStreamReader):
+    """Frames of a socket as they come; the offset is their number.
+
+    A thread reads ahead by at most ``readAhead`` rows, then the sender has to wait.  A socket cannot be read again, so
+    rows are held until they are committed, and a query that restarts after that misses none but those sent meanwhile.
+    """
+
+    def __init__(self, options: dict):
+        self.options, self.first, self.rows, self.failed, self.lock = options, 0, [], None, None
+
+    def __getstate__(self):
+        return {"options": self.options}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _start(self) -> None:
+        if self.lock is None:
+            self.lock = threading.Condition()
+            threading.Thread(target=self._run, daemon=True).start()
+
+    def _run(self) -> None:
+        try:
+            for r in received(self.options["path"], self.options):
+                with self.lock:
+                    self.lock.wait_for(lambda: len(self.rows) < int(self.options.get("readahead", 100_000)))
+                    self.rows.append(r)
+        except Exception as e:  # noqa: BLE001
+            self.failed = e
+
+    def initialOffset(self):
+        return {"frames": 0}
+
+    def read(self, start):
+        self._start()
+        if self.failed:
+            raise self.failed
+        with self.lock:
+            self.first = max(self.first, start["frames"] - len(self.rows))
+            rows = self.rows[start["frames"] - self.first :]
+        return iter(rows), {"frames": start["frames"] + len(rows)}
+
+    def readBetweenOffsets(self, start, end):
+        self._start()
+        with self.lock:
+            return iter(self.rows[max(start["frames"] - self.first, 0) : max(end["frames"] - self.first, 0)])
+
+    def commit(self, end):
+        self._start()
+        with self.lock:
+            gone = max(end["frames"] - self.first, 0)
+            self.rows, self.first = self.rows[gone:], self.first + gone
+            self.lock.notify_all()
+
+
 class FrameSource(DataSource):
-    """Format ``frames``.  Options: path (or tcp://host:port), mode, terminator, ordered; for writing schemaId and compressionLevel."""
+    """Format ``frames``.  Options: path (or tcp://host:port), mode, terminator, ordered; for sockets maxFrames (batch)
+    and readAhead (stream); for writing schemaId and compressionLevel."""
 
     @classmethod
     def name(cls):
@@ -275,7 +344,8 @@ class FrameSource(DataSource):
         return _Writer(dict(self.options))
 
     def simpleStreamReader(self, schema):
-        return _Tail(dict(self.options))
+        own = dict(self.options)
+        return _Feed(own) if own["path"].startswith("tcp://") else _Tail(own)
 
 
 def register(spark: SparkSession) -> None:

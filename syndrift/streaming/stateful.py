@@ -18,7 +18,7 @@ from ..session import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, terminator: str = "header") -> DataFrame:
-    """Frames of a folder as they arrive."""
+    """Frames of a folder, or of tcp://host:port, as they arrive."""
     from ..sources.frames import register
 
     register(spark)

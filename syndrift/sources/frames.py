@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,95 @@ def decode(stream_id: str, data: bytes, mode: str = "permissive", terminator: st
         yield broken(stream_id, schema, e)
 
 
+#: Recordings of so many bytes are read in runs of frames, shorter ones frame by frame.
+LONG = 1 << 14
+#: Frames of a run.
+RUN = 2000
+_HEAD = np.dtype([("frame_id", "<u8"), ("round", "<u4"), ("timestamp_ns", "<u8"), ("qubit_count", "<u2"), ("ancilla_count", "<u2"), ("payload", "<u4"), ("code_type", "u1"), ("distance", "u1"), ("flags", "<u2"), ("crc", "<u4")])
+
+
+def decode_batches(stream_id: str, data: bytes, schema: pa.Schema, mode: str = "permissive", terminator: str = "header", ordered: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows of ``decode``, other than lenient, in batches.
+
+    Runs of sound frames without timing, parity and annotations become columns at once; any other run, and whatever
+    comes from the first violation on, is read frame by frame.
+    """
+    try:
+        schema_id, body = wire.sniff(data)
+    except wire.FrameError:
+        yield from batches(decode(stream_id, data, mode, terminator, ordered), schema)
+        return
+    at, last = 0, None
+    while at < len(body):
+        starts, end = wire.sound_run(body, at, RUN, terminator)
+        made = _columns(stream_id, schema_id, body, starts, last if ordered else None, ordered, schema) if len(starts) else None
+        if made is None:
+            to = end if len(starts) else len(body)
+            rows, failed = [], False
+            try:
+                for f in wire.read_frames(body[at:to], terminator, ordered):
+                    if ordered and last is not None and f.frame_id <= last:
+                        raise wire.FrameError("FrameOutOfOrder", last_id=last, got=f.frame_id)
+                    last = f.frame_id
+                    rows.append(row(stream_id, schema_id, f))
+            except wire.FrameError as e:
+                if mode == "failfast":
+                    raise
+                rows.append(broken(stream_id, schema_id, e))
+                failed = True
+            yield from batches(iter(rows), schema)
+            if failed or to == len(body):
+                return
+            at = to
+            continue
+        last = int(made.column("frame_id")[-1].as_py())
+        yield made
+        at = end
+
+
+def _columns(stream_id: str, schema_id: str | None, body: bytes, starts: np.ndarray, last: int | None, ordered: bool, schema: pa.Schema) -> pa.RecordBatch | None:
+    """Frames that start at ``starts`` as columns; None if one of them has to be read by itself."""
+    buf, k = np.frombuffer(body, np.uint8), len(starts)
+    head = np.ascontiguousarray(buf[starts[:, None] + np.arange(wire.FRAME_HEADER.size)]).view(_HEAD).ravel()
+    if (head["flags"] & ~np.uint16(wire.METADATA)).any() or (head["payload"] < 2).any() or (head["frame_id"] >> 63).any() or (head["timestamp_ns"] >> 63).any():
+        return None
+    ids = head["frame_id"].astype(np.int64)
+    if ordered and ((np.diff(ids) <= 0).any() or last is not None and ids[0] <= last):
+        return None
+    n, at = head["ancilla_count"].astype(np.int64), starts + wire.FRAME_HEADER.size
+    code = buf[at].astype(np.int64) + 256 * buf[at + 1].astype(np.int64)
+    if (2 + code + n > head["payload"]).any():
+        return None
+    places = lambda first, size: np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    token, owner = buf[places(at + 2, code)], np.repeat(np.arange(k), code)
+    run = (token & 127).astype(np.int64)
+    frame, value = np.repeat(owner, run), np.repeat(token >= 128, run)
+    decoded = np.bincount(frame, minlength=k)
+    place = np.arange(len(frame)) - np.repeat(np.cumsum(decoded) - decoded, decoded)
+    inside = place < n[frame]
+    events = np.zeros(n.sum(), bool)
+    events[(np.cumsum(n) - n)[frame[inside]] + place[inside]] = value[inside]
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    metas = None
+    if head["flags"].any():
+        tail, stop, has = at + 2 + code + n, at + head["payload"], head["flags"] != 0
+        own = [wire.parse_metadata(body[a:b])[0] if h else None for a, b, h in zip(tail.tolist(), stop.tolist(), has.tolist(), strict=True)]
+        metas = [m and m | {"observable_flips": None if m["observable_flips"] is None else wire.signed(m["observable_flips"])} for m in own]
+    made = {
+        "stream_id": pa.repeat(pa.scalar(stream_id, pa.string()), k), "schema_id": pa.repeat(pa.scalar(schema_id, pa.string()), k),
+        "events_rle": pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(code)]).astype(np.int32)), pa.py_buffer(token)]),
+        "events": pa.ListArray.from_arrays(ends, pa.array(events)), "meas": pa.ListArray.from_arrays(ends, pa.array(buf[places(at + 2 + code, n)].view(np.int8))),
+    }
+    for f in schema:
+        if f.name in _HEAD.names:
+            made[f.name] = pa.array(head[f.name].astype(np.int64)).cast(f.type)
+        elif f.name == "metadata" and metas:
+            made[f.name] = pa.array(metas, f.type)
+        elif f.name not in made:
+            made[f.name] = pa.nulls(k, f.type)
+    return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in schema], schema=schema)
+
+
 def arrow_schema(spark_schema: StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -100,13 +190,20 @@ def parse(files: DataFrame, mode: str = "permissive", terminator: str = "header"
     """All frames of recordings in ``content``; ``path`` becomes the stream.  A recording without content is none."""
     schema = arrow_schema(StructType.fromDDL(SCHEMA))
 
-    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[tuple] = []
         for part in parts:
             for i in range(part.num_rows):
-                yield from decode(part.column(0)[i].as_py(), part.column(1)[i].as_py(), mode, terminator, ordered)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(found(parts), schema)
+                path, data = part.column(0)[i].as_py(), part.column(1)[i].as_py()
+                if mode != "lenient" and len(data) >= LONG:
+                    yield from decode_batches(path, data, schema, mode, terminator, ordered)
+                    continue
+                for r in decode(path, data, mode, terminator, ordered):
+                    small.append(r)
+                    if len(small) == RUN:
+                        yield from batches(iter(small), schema)
+                        small = []
+        yield from batches(iter(small), schema)
 
     return files.where("content is not null").select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
 
@@ -195,8 +292,8 @@ def received(address: str, options: dict) -> Iterator[tuple]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, options: dict, schema: pa.Schema):
+        self.options, self.schema = options, schema
 
     def partitions(self):
         path = self.options["path"]
@@ -221,7 +318,11 @@ class _Reader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(at[0] if "://" in at[0] else f"file://{at[0]}")
         with store.open_input_stream(at[1]) as f:
             data, name = f.read(), at[1]
-        yield from decode(name, data, o.get("mode", "permissive"), o.get("terminator", "header"), o.get("ordered", "true") == "true")
+        mode, how = o.get("mode", "permissive"), (o.get("terminator", "header"), o.get("ordered", "true") == "true")
+        if mode == "lenient":
+            yield from batches(decode(name, data, mode, *how), self.schema)
+        else:
+            yield from decode_batches(name, data, self.schema, mode, *how)
 
 
 class _Tail(SimpleDataSourceStreamReader):
@@ -338,7 +439,7 @@ class FrameSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        return _Reader(dict(self.options), arrow_schema(schema))
 
     def writer(self, schema, overwrite):
         return _Writer(dict(self.options))

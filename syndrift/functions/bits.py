@@ -70,16 +70,10 @@ def rle_bit(code: Column, i: Column | int) -> Column:
 
 
 def rle_tokens(events: Column) -> Column:
-    """Token bytes of the code of a boolean array; runs over 127 take several."""
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(None).cast("int").alias("last"))
-
-    def step(a: Column, e: Column) -> Column:
-        top = F.when(e, 128).otherwise(0)
-        grows = a["last"].isNotNull() & ((a["last"] >= 128) == e) & (F.pmod(a["last"], F.lit(128)) < 127)
-        done = F.when(grows | a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"])))
-        return F.struct(done.alias("out"), F.when(grows, a["last"] + 1).otherwise(top + 1).cast("int").alias("last"))
-
-    return F.aggregate(events, start, step, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
+    """Token bytes of the code of a boolean array; runs over 127 take several, a null counts as not fired."""
+    text = F.array_join(F.transform(events, lambda e: F.when(e, "1").otherwise("0")), "")
+    runs = F.regexp_extract_all(text, F.lit("(0{1,127}|1{1,127})"), F.lit(1))
+    return F.transform(runs, lambda r: F.length(r) + F.when(F.startswith(r, F.lit("1")), 128).otherwise(0))
 
 
 def rle_encode(events: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_dir
 
+#: Stands for a missing id on the way through numpy; lies below every id.
+NONE = -(2**63)
+#: Rows that leave Python at once.
+PIECE = 10_000
+
 
 def read_stream(spark: SparkSession, path: str, terminator: str = "header") -> DataFrame:
     """Frames of a folder, or of tcp://host:port, as they arrive."""
@@ -26,22 +32,29 @@ def read_stream(spark: SparkSession, path: str, terminator: str = "header") -> D
 
 
 def check_order(frames: DataFrame) -> DataFrame:
-    """stream_id, frame_id, last_id, in_order: frames must arrive with growing ids; rejected ones leave the state as it is."""
+    """stream_id, frame_id, last_id, in_order: frames must arrive with growing ids; rejected ones leave the state as it is.
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for part in parts:
-            rows = []
-            for fid in part.sort_values("arrival")["frame_id"].tolist() if "arrival" in part else part["frame_id"].tolist():
-                ok = last is None or fid > last
-                rows.append((key[0], fid, last, ok))
-                last = fid if ok else last
-            yield pd.DataFrame(rows, columns=["stream_id", "frame_id", "last_id", "in_order"]).astype({"last_id": "Int64"})
-        if last is not None:
-            state.update((last,))
+    A stream's frames reach Python in several parts, in any order, so all of a batch are gathered (as two numbers a
+    frame) and put in order of ``arrival``.  Without that column they count as Spark delivers them.
+    """
+    timed = "arrival" in frames.columns
 
-    cols = ["stream_id", "frame_id", *(["arrival"] if "arrival" in frames.columns else [])]
-    return frames.select(*cols).groupBy("stream_id").applyInPandasWithState(step, "stream_id string, frame_id bigint, last_id bigint, in_order boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [(p["frame_id"].to_numpy(), p["arrival"].to_numpy() if timed else None) for p in parts]
+        ids = np.concatenate([x for x, _ in held])
+        if timed:
+            ids = ids[np.argsort(np.concatenate([t for _, t in held]), kind="stable")]
+        # the last id taken is the largest so far
+        last = np.maximum.accumulate(np.concatenate([[state.get[0] if state.exists else NONE], ids]))
+        for k in range(0, len(ids), PIECE):
+            own, before = ids[k : k + PIECE], last[k : min(k + PIECE, len(ids))]
+            fid, lid = (pd.arrays.IntegerArray(x, x == NONE) for x in (own, before))
+            yield pd.DataFrame({"stream_id": key[0], "frame_id": fid, "last_id": lid, "in_order": (own > before) | (own == NONE)})
+        if last[-1] != NONE:
+            state.update((int(last[-1]),))
+
+    fid = F.coalesce(F.col("frame_id").cast("bigint"), F.lit(NONE)).alias("frame_id")
+    return frames.select("stream_id", fid, *(["arrival"] if timed else [])).groupBy("stream_id").applyInPandasWithState(step, "stream_id string, frame_id bigint, last_id bigint, in_order boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def sliding(frames: DataFrame, depth: int, growing: bool = False) -> DataFrame:

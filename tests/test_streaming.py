@@ -1,9 +1,10 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from syndrift.operators import windows
+from syndrift.operators import validate, windows
 from syndrift.sources import frames
 from syndrift.streaming import stateful
 
@@ -69,3 +70,34 @@ def test_progress(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.summary()["rows"] == 40 and list(seen.ended.values()) == [None]
+
+
+@pytest.fixture
+def small_parts(spark):
+    """A stream's frames reach Python in parts of seven."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, held)
+
+
+def _scattered(spark, rows, path):
+    """The rows as a stream of three files, each against the order of ids."""
+    rows.repartition(3).sortWithinPartitions(F.desc("frame_id")).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def test_order_over_parts(spark, small_parts, tmp_path):
+    i = F.col("id")
+    rows = spark.range(200).select((i % 2).cast("string").alias("stream_id"), (i + (1 << 60)).alias("frame_id"), (i + F.when(i % 10 == 0, 60).otherwise(0)).alias("arrival"))
+    got = stateful.drain(stateful.check_order(_scattered(spark, rows, str(tmp_path / "in"))))
+    want = validate.out_of_order(rows).drop("arrival").select(got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.where("not in_order").count() == 20
+
+
+def test_order_of_a_missing_id(spark, small_parts, tmp_path):
+    rows = spark.createDataFrame([("s", (1 << 60) + 1, 1), ("s", None, 2), ("s", (1 << 60) + 2, 3), ("s", 5, 4)], "stream_id string, frame_id bigint, arrival bigint")
+    got = stateful.drain(stateful.check_order(_scattered(spark, rows, str(tmp_path / "in")))).drop("stream_id")
+    top = (1 << 60) + 1
+    assert {tuple(r) for r in got.collect()} == {(top, None, True), (None, top, True), (top + 1, top, True), (5, top + 1, False)}

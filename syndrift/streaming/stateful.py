@@ -1,6 +1,6 @@
 """Structured Streaming: order checks, count windows, rolling metrics and paced replay.
 
-State is kept for each stream: the last id, or the last ``depth - 1`` frames.  An out-of-order frame is set aside
+State is kept for each stream: the last id, or the last ``depth`` frames.  An out-of-order frame is set aside
 with an error and the query goes on.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.bits import active
 from ..session import shared_dir
 
 #: Stands for a missing id on the way through numpy; lies below every id.
@@ -57,32 +58,50 @@ def check_order(frames: DataFrame) -> DataFrame:
     return frames.select("stream_id", fid, *(["arrival"] if timed else [])).groupBy("stream_id").applyInPandasWithState(step, "stream_id string, frame_id bigint, last_id bigint, in_order boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def sliding(frames: DataFrame, depth: int, growing: bool = False) -> DataFrame:
+def sliding(frames: DataFrame, depth: int, growing: bool = False, repeats: bool = False) -> DataFrame:
     """stream_id, end_frame_id, depth, active and ground_truth of every window as its newest frame arrives.
 
-    Frames whose id does not exceed the last one taken are left out, as in ``check_order``.
+    All frames of a batch are gathered for each stream, as numbers of fired detectors, and put in order of their ids.
+    Frames whose id does not exceed the last one taken are left out, as in ``check_order``, and so are frames without
+    an id; with ``repeats`` frames of an equal id are taken, as by ``windows.sliding``.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, held, width = state.get if state.exists else (None, [], None)
-        rounds = [list(x) for x in held]
-        last = ids
-        for part in parts:
-            rows = []
-            for r in part.sort_values("frame_id").itertuples():
-                if last is not None and r.frame_id <= last:
-                    continue
-                last, width = r.frame_id, width or len(r.events)
-                fired = [i for i, e in enumerate(r.events) if e]
-                rounds = [*rounds, fired][-depth:]
-                if growing or len(rounds) == depth:
-                    rows.append((key[0], r.frame_id, len(rounds), [k * width + i for k, own in enumerate(rounds) for i in own], r.ground_truth))
-            yield pd.DataFrame(rows, columns=["stream_id", "end_frame_id", "depth", "active", "ground_truth"])
+        last, held, width = state.get if state.exists else (None, [], None)
+        names = ["frame_id", "width", "ground_truth", "known"]
+        own = [([p[c].to_numpy() for c in names], p["fired"].map(len).to_numpy(), np.concatenate(p["fired"].tolist())) for p in parts]
+        ids, widths, truth, known = (np.concatenate(x) for x in zip(*(x for x, _, _ in own), strict=True))
+        sizes, fired = np.concatenate([x for _, x, _ in own]), np.concatenate([x for _, _, x in own])
+        del own
+        order = np.argsort(ids, kind="stable")
+        if not repeats:
+            order = order[np.concatenate([[True], np.diff(ids[order]) != 0])]
         if last is not None:
-            state.update((last, rounds, width))
-
-    truth = F.col("ground_truth") if "ground_truth" in frames.columns else F.lit(0)
-    own = frames.select("stream_id", "frame_id", "events", truth.cast("bigint").alias("ground_truth"))
+            order = order[ids[order] >= last if repeats else ids[order] > last]
+        if not len(order):
+            return
+        # the fired detectors of all rounds end to end: first those held, then the batch's by id
+        n, starts = len(held), np.cumsum(sizes) - sizes
+        sizes, starts, ids, widths, truth, known = (x[order] for x in (sizes, starts, ids, widths, truth, known))
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        fired = np.concatenate([*(np.array(x, "int64") for x in held), fired[at].astype("int64")])
+        sizes = np.concatenate([np.array([len(x) for x in held], "int64"), sizes])
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        width = width or int(widths[np.argmax(widths > 0)])
+        placed = fired + width * np.repeat(np.arange(len(sizes)), sizes)
+        for k in range(0, len(ids), PIECE):
+            end = np.arange(n + k, min(n + k + PIECE, len(sizes))) + 1
+            end = end if growing else end[end >= depth]
+            if len(end):
+                low, row = np.maximum(end - depth, 0), end - 1 - n
+                rounds = [placed[edges[a] : edges[b]] - width * a for a, b in zip(low.tolist(), end.tolist(), strict=True)]
+                yield pd.DataFrame({"stream_id": key[0], "end_frame_id": ids[row], "depth": end - low, "active": rounds, "ground_truth": pd.arrays.IntegerArray(truth[row], ~known[row])})
+        state.update((int(ids[-1]), [fired[a:b].tolist() for a, b in zip(edges[:-1][-depth:], edges[1:][-depth:], strict=True)], width))
+
+    truth = (F.col("ground_truth") if "ground_truth" in frames.columns else F.lit(0)).cast("bigint")
+    own = frames.where("frame_id is not null").select(
+        "stream_id", "frame_id", F.size("events").alias("width"), active(F.col("events")).alias("fired"), F.coalesce(truth, F.lit(0)).alias("ground_truth"), truth.isNotNull().alias("known")
+    )
     return own.groupBy("stream_id").applyInPandasWithState(
         step, "stream_id string, end_frame_id bigint, depth int, active array<int>, ground_truth bigint", "last bigint, rounds array<array<int>>, width int", "append", GroupStateTimeout.NoTimeout
     )

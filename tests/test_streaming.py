@@ -101,3 +101,31 @@ def test_order_of_a_missing_id(spark, small_parts, tmp_path):
     got = stateful.drain(stateful.check_order(_scattered(spark, rows, str(tmp_path / "in")))).drop("stream_id")
     top = (1 << 60) + 1
     assert {tuple(r) for r in got.collect()} == {(top, None, True), (None, top, True), (top + 1, top, True), (5, top + 1, False)}
+
+
+def test_windows_over_parts(spark, small_parts, tmp_path):
+    i = F.col("id")
+    events = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: (i + j) % 9 == 0)
+    truth = F.when(i % 5 > 0, i + (1 << 60)).alias("ground_truth")
+    rows = spark.range(201).select((i % 2).cast("string").alias("stream_id"), (i + (1 << 60)).alias("frame_id"), events.alias("events"), truth)
+    stream, cols = _scattered(spark, rows, str(tmp_path / "in")), ["stream_id", "end_frame_id", "depth", "active", "ground_truth"]
+    for got, want in [(stateful.sliding(stream, 4), windows.sliding(rows, 4)), (stateful.sliding(stream, 4, growing=True), windows.growing(rows, 4))]:
+        assert sorted(stateful.drain(got).collect(), key=repr) == sorted(want.select(cols).collect(), key=repr)
+
+
+def test_windows_of_repeated_ids(spark, small_parts, tmp_path):
+    rows = spark.sql("select 's' as stream_id, a.id as frame_id, array(a.id % 2 = 0, true) as events from range(20) a, range(3) b")
+    stream, cols = _scattered(spark, rows, str(tmp_path / "in")), ["end_frame_id", "active"]
+    want = [windows.sliding(x, 4).select(cols).collect() for x in (rows, rows.distinct())]
+    got = [stateful.drain(stateful.sliding(stream, 4, repeats=x)).select(cols).collect() for x in (True, False)]
+    assert list(map(sorted, got)) == list(map(sorted, want)) and len(got[0]) == 57
+
+
+def test_windows_leave_late_frames_out(spark, small_parts, tmp_path):
+    for k, ids in enumerate([[1, 2, 5, 6], [3, 4], [6, 7, None, 8]]):
+        spark.createDataFrame([("s", i, [True, (i or 0) % 2 == 0]) for i in ids], "stream_id string, frame_id bigint, events array<boolean>").coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+        for p in (tmp_path / "in" / f"k={k}").glob("*.parquet"):
+            os.utime(p, (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("stream_id string, frame_id bigint, events array<boolean>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = stateful.drain(stateful.sliding(stream, 3)).collect()
+    assert sorted((r.end_frame_id, r.active, r.ground_truth) for r in got) == [(5, [0, 2, 3, 4], 0), (6, [0, 1, 2, 4, 5], 0), (7, [0, 2, 3, 4], 0), (8, [0, 1, 2, 4, 5], 0)]
